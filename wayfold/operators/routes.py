@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.operators.frontier import _checkpoint
 
 
-def rebuild_routes(labels: DataFrame, max_rounds: int = 64) -> DataFrame:
+def rebuild_routes(labels: DataFrame, element: str = "road_id", max_rounds: int = 64) -> DataFrame:
     """Road list from the root to every labelled node, by pointer doubling.
 
     labels (start, node, pred, road_id): predecessor tree per start (root has a
@@ -16,15 +16,19 @@ def rebuild_routes(labels: DataFrame, max_rounds: int = 64) -> DataFrame:
     and concatenates the ancestor's segment in front, so a route of h roads
     needs ceil(log2 h) + 1 rounds: no per-node walk, no driver loop over rows.
 
-    Returns (start, node, route ARRAY<STRING>) for every label, root included
+    ``element`` is the label column listed per step: ``road_id`` gives the road
+    list, ``node`` the point list (root excluded).
+
+    Returns (start, node, route ARRAY<...>) for every label, root included
     (empty route).
     """
+    etype = dict(labels.dtypes)[element]
     seg = labels.select(
         "start",
         "node",
         F.col("pred").alias("anc"),
-        F.when(F.col("road_id").isNull(), F.array().cast("array<string>"))
-        .otherwise(F.array("road_id"))
+        F.when(F.col("pred").isNull(), F.array().cast(f"array<{etype}>"))
+        .otherwise(F.array(F.col(element)))
         .alias("route"),
     )
     seg = _checkpoint(seg)
