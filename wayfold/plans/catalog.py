@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.operators import reach, records, routes, ucs
+from wayfold.operators import pairs, reach, records, routes, spatial_jobs, ucs
+from wayfold.sources import text
 from wayfold.sources.network import load_network
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,8 +113,7 @@ def q_region_routes(spark, sf_dir):
     return res.select("event_id", "start_road", "dst", F.round("cost", 3).alias("cost"), _route_str())
 
 
-def catalog() -> dict[str, Query]:
-    return {
+_CORE = {
         "matched_records": q_matched_records,
         "start_points": q_start_points,
         "budget_search": q_budget_search,
@@ -128,4 +128,119 @@ def catalog() -> dict[str, Query]:
         "region_shortest_paths": q_region_shortest_paths,
         "route_roads": q_route_roads,
         "region_routes": q_region_routes,
-    }
+}
+
+
+# ------------------------------------------------------------------ text scans
+
+def q_trajectory_scan(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    return text.parse_trajectory(text.format_trajectory(net.records))
+
+
+def q_road_attr_scan(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    return text.parse_road_attrs(text.format_road_attrs(net.roads))
+
+
+def q_point_topology_scan(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    return text.parse_point_topology(text.format_point_topology(net.edges, net.roads, net.junctions))
+
+
+def q_road_topology_scan(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    t = text.parse_road_topology(text.format_road_topology(net.roads))
+    return t.select(
+        "road_id", "lon1", "lat1", "lon2", "lat2",
+        F.array_join("start_roads", ",").alias("start_roads"),
+        F.array_join("end_roads", ",").alias("end_roads"),
+    )
+
+
+def q_grid_index_scan(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    g = text.parse_grid_index(text.format_grid_index(net.grid))
+    return g.select("cell", "road_id", F.array_join("lonlats", ";").alias("lonlats"))
+
+
+def q_edge_table_scan(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    return pairs.edge_table(net.roads)
+
+
+# --------------------------------------------------------------- spatial jobs
+
+def q_geohash_cells(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    return spatial_jobs.geohash_cells(net.gps)
+
+
+def q_candidate_roads(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    c = spatial_jobs.candidate_roads(net.gps, net.grid)
+    return c.select("event_id", "road_id", F.array_join("lonlats", ";").alias("lonlats"))
+
+
+def q_project_to_road(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    return spatial_jobs.project_to_road(net.gps, net.roads)
+
+
+def q_great_circle_distance(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    d = spatial_jobs.endpoint_distances(net.gps, net.roads)
+    return d.select("event_id", "road_id", F.round("d_first", 3).alias("d_first"),
+                    F.round("d_last", 3).alias("d_last"))
+
+
+def q_nearest_endpoint(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    return spatial_jobs.nearest_endpoint(net.gps, net.roads)
+
+
+def q_heading_endpoints(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    return spatial_jobs.heading_endpoints(net.gps, net.roads)
+
+
+def q_roads_within_distance(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    starts = records.start_roads(net.records, net.roads).select("road_id")
+    return spatial_jobs.roads_within_distance(starts, net.roads).select("start_road", "road_id")
+
+
+def q_pair_endpoints(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    starts = records.start_roads(net.records, net.roads).select("road_id")
+    near = spatial_jobs.roads_within_distance(starts, net.roads)
+    return pairs.pair_endpoints(near, pairs.edge_table(net.roads))
+
+
+def q_pair_routes(spark, sf_dir):
+    net = load_network(spark, sf_dir)
+    res = pairs.pair_routes(net.records, net.roads)
+    return res.select("start_road", "road_id", F.round("cost", 3).alias("cost"), _route_str())
+
+
+_MORE = {
+    "trajectory_scan": q_trajectory_scan,
+    "road_attr_scan": q_road_attr_scan,
+    "point_topology_scan": q_point_topology_scan,
+    "road_topology_scan": q_road_topology_scan,
+    "grid_index_scan": q_grid_index_scan,
+    "edge_table_scan": q_edge_table_scan,
+    "geohash_cells": q_geohash_cells,
+    "candidate_roads": q_candidate_roads,
+    "project_to_road": q_project_to_road,
+    "great_circle_distance": q_great_circle_distance,
+    "nearest_endpoint": q_nearest_endpoint,
+    "heading_endpoints": q_heading_endpoints,
+    "roads_within_distance": q_roads_within_distance,
+    "pair_endpoints": q_pair_endpoints,
+    "pair_routes": q_pair_routes,
+}
+
+
+def catalog() -> dict[str, Query]:
+    return {**_CORE, **_MORE}
