@@ -70,7 +70,8 @@ def pair_routes(records: DataFrame, roads: DataFrame, radius_m: float = DEFAULT_
     table = edge_table(roads)
     starts = start_roads(records, roads).select("road_id")
     near = roads_within_distance(starts, roads, radius_m)
-    ends = pair_endpoints(near, table).where(F.col("from_node") != F.col("to_node"))
+    # the pair list feeds the search and the final join: materialise it once
+    ends = frontier._checkpoint(pair_endpoints(near, table).where(F.col("from_node") != F.col("to_node")))
     targets = ends.select(F.col("from_node").alias("start"), F.col("to_node").alias("node")).distinct()
     sources = targets.select("start").distinct().select("start", F.col("start").alias("node"))
     lab = frontier.search(sources, directed_edges(table), penalty=0.0, targets=targets)
