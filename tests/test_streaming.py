@@ -1,0 +1,42 @@
+"""Streaming records answered by a stream-static join equal the batch job."""
+
+import os
+
+from pyspark.sql import functions as F
+
+from wayfold.operators import ucs
+from wayfold.sources.network import load_network
+from wayfold.streaming.records import start_to_table, stream_routes
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stream_routes_equal_batch(spark, tmpdir_path):
+    import shutil
+
+    src = f"{tmpdir_path}/events_in"
+    os.makedirs(src)
+    shutil.copy(f"{SF}/events.parquet", f"{src}/part-0.parquet")
+    net = load_network(spark, SF)
+    results = ucs.budget_results(net.records, net.roads, net.edges)
+    batch = ucs.budget_routes(net.records, net.roads, net.edges)
+
+    events = spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).option(
+        "maxFilesPerTrigger", 1
+    ).parquet(src)
+    n = spark.read.parquet(f"{SF}/part.parquet").count()  # network size is fixed for the stream
+    recs = events.select(
+        "event_id",
+        F.when(F.col("event_type") == "error", F.lit("0"))
+        .otherwise((F.lit(1) + (F.col("user_id") * 31 + F.col("event_id") * 17) % (2 * n)).cast("string"))
+        .alias("road_id"),
+    )
+    q = start_to_table(stream_routes(recs, net.roads, results), "stream_routes_test")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.table("stream_routes_test")
+    assert got.count() == batch.count()
+    cols = ["event_id", "dst", "cost"]
+    assert got.select(*cols).exceptAll(batch.select(*cols)).count() == 0

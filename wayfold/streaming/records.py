@@ -1,0 +1,41 @@
+"""Per-record routes for a stream of trajectory records.
+
+The search results depend only on the road network and the start point, so
+they are computed once in batch (``ucs.budget_results`` per distinct start) and
+a streaming source of records is answered by a stream-static join: each
+micro-batch of records is filtered, mapped to its start point and joined to
+the result table.  No state is kept between micro-batches; the sink's
+checkpoint (under ``spark.checkpoint.dir``) makes the query restartable.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from wayfold.operators.records import matched_records
+from wayfold.session import ensure_checkpoint_dir
+
+
+def stream_routes(record_stream: DataFrame, roads: DataFrame, results: DataFrame) -> DataFrame:
+    """record_stream (event_id, road_id, ...) streaming; results (start, dst, cost, within, route) static.
+    Returns a streaming DataFrame (event_id, start_road, dst, cost, within, route)."""
+    starts = roads.select("road_id", F.col("a").alias("start"))
+    recs = matched_records(record_stream).select("event_id", "road_id").join(starts, "road_id")
+    return recs.join(results, "start").select(
+        "event_id", F.col("road_id").alias("start_road"), "dst", "cost", "within", "route"
+    )
+
+
+def start_to_table(routes: DataFrame, name: str, output_mode: str = "append") -> StreamingQuery:
+    """Start the query into an in-memory table ``name`` (tests, small sinks);
+    the checkpoint location lives in the session's reliable checkpoint folder."""
+    ckpt = ensure_checkpoint_dir(routes.sparkSession).rstrip("/") + f"/stream-{name}"
+    return (
+        routes.writeStream.format("memory")
+        .queryName(name)
+        .outputMode(output_mode)
+        .option("checkpointLocation", ckpt)
+        .start()
+    )
