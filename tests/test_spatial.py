@@ -84,3 +84,20 @@ def test_candidate_roads_contain_own_road(spark):
     own = net.gps.join(cand, ["event_id", "road_id"], "left_semi").count()
     assert own == net.gps.count()
     assert cand.where(F.size("lonlats") == 0).count() == 0
+
+
+def test_geohash_fast_path_equals_fold(spark):
+    """Closed form + border fallback equals the rounded fold, also right at cell borders."""
+    import random
+
+    from wayfold.functions.geohash import _fold
+
+    rnd = random.Random(7)
+    w1, w2 = 360.0 / 2**18, 180.0 / 2**17
+    pts = [(rnd.uniform(-180, 180), rnd.uniform(-90, 90)) for _ in range(3000)]
+    for _ in range(3000):  # points within a few 1e-6 degrees of a border
+        k1, k2 = rnd.randrange(2**18), rnd.randrange(2**17)
+        pts.append((-180 + k1 * w1 + rnd.uniform(-4e-6, 4e-6), -90 + k2 * w2 + rnd.uniform(-4e-6, 4e-6)))
+    df = spark.createDataFrame(pts, "lon double, lat double")
+    diff = df.where(geohash7("lon", "lat") != _fold(F.col("lon"), F.col("lat"))).count()
+    assert diff == 0
