@@ -88,12 +88,16 @@ def search(
         counts = targets.groupBy("start").agg(F.count(F.lit(1)).alias("n_targets"))
         targets = _checkpoint(targets.join(counts, "start"))
 
-    e = edges.select(
-        *(["start"] if edges_keyed_by_start else []),
-        F.col("src"),
-        F.col("dst"),
-        F.col("road_id").alias("e_road"),
-        F.col("secs"),
+    # the edge set is read every round: materialise it once (network- or
+    # region-sized), so rounds neither recompute its lineage nor re-plan it
+    e = _checkpoint(
+        edges.select(
+            *(["start"] if edges_keyed_by_start else []),
+            F.col("src"),
+            F.col("dst"),
+            F.col("road_id").alias("e_road"),
+            F.col("secs"),
+        )
     )
     join_on = ["start", "src"] if edges_keyed_by_start else ["src"]
 
