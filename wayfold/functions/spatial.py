@@ -83,13 +83,19 @@ def _angle(vx, vy, ux, uy) -> Column:
     return F.when((cosang >= -1.0) & (cosang <= 1.0), F.acos(cosang))
 
 
+def facing_end_is_first_from(tx, ty, x1, y1, x2, y2, ox, oy) -> Column:
+    """As ``facing_end_is_first`` with the projection (tx, ty) given (e.g. a
+    column computed in an earlier projection, to keep generated code small)."""
+    tx, ty = _c(tx), _c(ty)
+    vx, vy = _c(ox) - tx, _c(oy) - ty
+    a1 = _angle(vx, vy, _c(x1) - tx, _c(y1) - ty)
+    a2 = _angle(vx, vy, _c(x2) - tx, _c(y2) - ty)
+    return F.coalesce(a1 < a2, F.lit(False))
+
+
 def facing_end_is_first(gx, gy, x1, y1, x2, y2, ox, oy) -> Column:
     """For a GPS point (gx, gy) on segment 1-2 and the other GPS point (ox, oy):
     True when end 1 makes the smaller angle, seen from the projection, with the
     direction to the other point.  Ties or undefined angles pick end 2."""
     p = project_to_segment(gx, gy, x1, y1, x2, y2)
-    tx, ty = p["x"], p["y"]
-    vx, vy = _c(ox) - tx, _c(oy) - ty
-    a1 = _angle(vx, vy, _c(x1) - tx, _c(y1) - ty)
-    a2 = _angle(vx, vy, _c(x2) - tx, _c(y2) - ty)
-    return F.coalesce(a1 < a2, F.lit(False))
+    return facing_end_is_first_from(p["x"], p["y"], x1, y1, x2, y2, ox, oy)
