@@ -44,3 +44,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="wayfold-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def spread(df, *cols: str):
+    """Hash-partition ``df`` on ``cols`` into the session's shuffle partition count.
+
+    Used before a step that multiplies rows or CPU (explode into grid cells,
+    a search round's edge expansion): AQE sizes post-shuffle partitions by the
+    bytes *read*, so a small input feeding a large fan-out would otherwise be
+    coalesced into one task.  An explicit count is never coalesced by AQE, and
+    on a cluster ``spark.sql.shuffle.partitions`` is the operator's choice.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *cols)

@@ -72,6 +72,13 @@ class Network:
     grid: DataFrame
 
 
+def part_count(part: DataFrame) -> int:
+    """Number of junctions, evaluated once as a plain value (answered from the
+    parquet footers).  As a literal it folds into every derived expression; as a
+    scalar subquery it would be re-planned in each of the many plans using it."""
+    return int(part.count())
+
+
 def _lon(k: Column) -> Column:
     return F.lit(LON0) + F.lit(STEP) * (k % GRID_WIDTH)
 
@@ -91,7 +98,7 @@ def _km(k: Column, size: Column, offset: int) -> Column:
 def build_roads(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
     size = F.col("p_size")
-    n = part.select(F.count(F.lit(1))).scalar()
+    n = part_count(part)
     base = part.select(k, size)
     horizontal = base.where(((k % GRID_WIDTH) < GRID_WIDTH - 1) & (k + 1 < n)).select(
         (k * 2 + 1).cast("string").alias("road_id"),
@@ -159,7 +166,7 @@ def build_adj(roads: DataFrame) -> DataFrame:
 
 
 def build_records(events: DataFrame, part: DataFrame) -> DataFrame:
-    n = part.select(F.count(F.lit(1))).scalar()
+    n = part_count(part)
     rid = (F.lit(1) + (F.col("user_id") * 31 + F.col("event_id") * 17) % (n * 2)).cast("string")
     return events.select(
         "event_id",
@@ -209,7 +216,7 @@ def build_grid(roads: DataFrame) -> DataFrame:
 def load_network(spark: SparkSession, sf_dir: str) -> Network:
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size")
     events = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
-    n = part.select(F.count(F.lit(1))).scalar()
+    n = part_count(part)
     k = F.col("p_partkey")
     junctions = part.select(k.alias("node"), _lon(k).alias("lon"), _lat(k).alias("lat")).where(k < n)
     roads = build_roads(part)
