@@ -113,3 +113,14 @@ def test_route_cost_equals_sum_of_edges(spark):
         assert abs(sum(secs[x] + 5.0 for x in row.route) - row.cost) < 1e-9
     # with 5 s per step the two-hop route (9+5 + 1+5 = 20) beats a,b,d (21)
     assert r.where(F.col("node") == 4).first().route == ["c", "d"]
+
+
+def test_unreachable_target_is_not_emitted_and_does_not_bound(spark):
+    # target 9 is never reached: its placeholder must not appear as a label, and
+    # the start stays unbounded, so the reachable target keeps its exact cost
+    e = _edges(spark, [(1, 2, "a", 50.0), (1, 3, "b", 1.0), (3, 4, "c", 1.0), (4, 2, "d", 1.0), (9, 1, "z", 1.0)])
+    t = _starts(spark, [(1, 2), (1, 9)])
+    lab = _labels(frontier.search(_starts(spark, [(1, 1)]), e, targets=t))
+    assert (1, 9) not in lab
+    assert lab[(1, 2)] == (3.0, 4, "d")
+    assert all(v[0] != float("inf") for v in lab.values())

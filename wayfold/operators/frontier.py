@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from wayfold.session import ensure_checkpoint_dir
 
 LABEL_COLS = ["start", "node", "cost", "pred", "road_id"]
+# cost of a target placeholder that no path has reached yet
+UNLABELLED = float("inf")
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -80,13 +82,29 @@ def search(
         F.lit(None).cast(node_type).alias("pred"),
         F.lit(None).cast("string").alias("road_id"),
         F.lit(True).alias("changed"),
-    ).dropDuplicates(["start", "node"])
-    state = _checkpoint(state)
-
+        F.lit(False).alias("is_target"),
+    )
     if targets is not None:
-        targets = targets.select("start", "node").distinct()
-        counts = targets.groupBy("start").agg(F.count(F.lit(1)).alias("n_targets"))
-        targets = _checkpoint(targets.join(counts, "start"))
+        # targets enter the state as unlabelled placeholders (infinite cost,
+        # never expanded) flagged ``is_target``; the per-round minimum carries
+        # the flag, so the per-start bound is an aggregate over flagged rows,
+        # not a join of the targets with the whole state every round
+        state = state.unionByName(
+            targets.select(
+                "start",
+                "node",
+                F.lit(UNLABELLED).alias("cost"),
+                F.lit(None).cast(node_type).alias("pred"),
+                F.lit(None).cast("string").alias("road_id"),
+                F.lit(False).alias("changed"),
+                F.lit(True).alias("is_target"),
+            )
+        )
+    state = _checkpoint(
+        state.groupBy("start", "node")
+        .agg(F.min(F.struct("cost", "pred", "road_id", "changed")).alias("m"), F.max("is_target").alias("is_target"))
+        .select("start", "node", "m.cost", "m.pred", "m.road_id", "m.changed", "is_target")
+    )
 
     # the edge set is read every round: materialise it once (network- or
     # region-sized), so rounds neither recompute its lineage nor re-plan it
@@ -106,9 +124,9 @@ def search(
         if limit is not None:
             frontier = frontier.where(F.col("cost") <= F.lit(float(limit)))
         if frontier.isEmpty():
-            return state.select(*LABEL_COLS)
+            return state.where(F.col("cost") < F.lit(UNLABELLED)).select(*LABEL_COLS)
         if targets is not None:
-            frontier = _prune_by_targets(frontier, state, targets)
+            frontier = _prune_by_targets(frontier, state)
 
         step = F.col("cost") + F.lit(float(penalty)) + F.col("secs") if penalty_first else (
             F.col("cost") + F.col("secs") + F.lit(float(penalty))
@@ -120,17 +138,18 @@ def search(
             F.lit(1).alias("is_new"),
             F.col("e_road").alias("road_id"),
             F.col("src").alias("pred"),
+            F.lit(False).alias("is_target"),
         )
         if cut is not None:
             cand = cand.where(F.col("cost") < F.lit(float(cut)))
         old = state.select(
-            "start", "node", "cost", F.lit(0).alias("is_new"), "road_id", "pred"
+            "start", "node", "cost", F.lit(0).alias("is_new"), "road_id", "pred", "is_target"
         )
         # keep the old label on equal cost (is_new 0 < 1): replace only when strictly cheaper
         best = (
             old.unionByName(cand)
             .groupBy("start", "node")
-            .agg(F.min(F.struct("cost", "is_new", "road_id", "pred")).alias("m"))
+            .agg(F.min(F.struct("cost", "is_new", "road_id", "pred")).alias("m"), F.max("is_target").alias("is_target"))
             .select(
                 "start",
                 "node",
@@ -138,24 +157,24 @@ def search(
                 F.col("m.pred").alias("pred"),
                 F.col("m.road_id").alias("road_id"),
                 (F.col("m.is_new") == 1).alias("changed"),
+                "is_target",
             )
         )
         state = _checkpoint(best)
     raise RuntimeError(f"search did not converge in {max_rounds} rounds")
 
 
-def _prune_by_targets(frontier: DataFrame, state: DataFrame, targets: DataFrame) -> DataFrame:
-    """Drop frontier labels that cannot improve any target of their start."""
+def _prune_by_targets(frontier: DataFrame, state: DataFrame) -> DataFrame:
+    """Drop frontier labels that cannot improve any target of their start.
+
+    A start whose targets are all labelled is bounded by its dearest target;
+    the bound is a partial aggregate over the state's target rows (map-side
+    combined to one row per start and task before the shuffle)."""
     found = (
-        targets.join(state.select("start", "node", F.col("cost").alias("tcost")), ["start", "node"])
+        state.where(F.col("is_target"))
         .groupBy("start")
-        .agg(
-            F.count(F.lit(1)).alias("n_found"),
-            F.first("n_targets").alias("n_targets"),
-            F.max("tcost").alias("bound"),
-        )
-        .where(F.col("n_found") == F.col("n_targets"))
-        .select("start", "bound")
+        .agg(F.max("cost").alias("bound"))
+        .where(F.col("bound") < F.lit(UNLABELLED))
     )
     return frontier.join(found, "start", "left").where(
         F.col("bound").isNull() | (F.col("cost") < F.col("bound"))
