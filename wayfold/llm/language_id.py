@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-For every language a zstandard raw-content dictionary is made of training text.  A text is encoded
-with each dictionary, piece by piece, and belongs to the language whose dictionary makes it smallest.
+For every language a zstandard raw-content dictionary is made of training text.  A text, in
+lower case, is encoded with each dictionary, piece by piece, and belongs to the language whose dictionary makes it smallest.
 Where the runner-up is hardly larger the answer is narrow and the text is rejected.
 
 Fitting takes at most ``SAMPLE_ROWS`` training rows for each language (whole texts) and keeps at most
@@ -27,12 +27,18 @@ from pyspark.sql import functions as F
 from .common import remainder
 
 SAMPLE_ROWS = 300
-DICTIONARY_BYTES = 1 << 17
+DICTIONARY_BYTES = 1 << 16
 MAX_LANGUAGES = 1000
-PIECE_BYTES = 4096
-LEVEL = 3
+PIECE_BYTES = 8192
+LEVEL = 6
+#: The main encoding uses the last half of a dictionary; offsets into it are cheaper.
+MAIN_BYTES = DICTIONARY_BYTES // 2
+#: Texts up to this size are also encoded with whole dictionaries at another level, and sizes added,
+#: since one encoding of a few words is often equally long in two languages.
+SHORT_BYTES = 256
+SHORT_LEVEL = 4
 #: Rejected if the runner-up is less than this share larger than the smallest encoding.
-MIN_MARGIN = 0.004
+MIN_MARGIN = 0.002
 UNKNOWN = "und"
 
 _letter = regex.compile(r"\p{L}")
@@ -51,7 +57,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int =
     stretch = 4 * (dictionary_bytes // sample_rows + 1)
     start = F.greatest(F.lit(1), ((F.length("text") - stretch) / 2).cast("int"))
     rows = docs.join(F.broadcast(ids.limit(sample_rows * MAX_LANGUAGES)), ["doc_id", "lang"], "left_semi")
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("k"), F.substring(F.col("text"), start, F.lit(stretch)).alias("part"))
+    rows = rows.select("lang", F.xxhash64("doc_id").alias("k"), F.lower(F.substring(F.col("text"), start, F.lit(stretch))).alias("part"))
     parts: dict[str, list] = {}
     for r in rows.collect():
         parts.setdefault(r["lang"], []).append((r["k"], r["part"].encode("utf-8", "replace")))
@@ -61,21 +67,26 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int =
 class Encoder:
     """The compressors of one worker."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
+    def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
-        self.coders = []
-        for lang in self.langs:
-            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.main = [self.coder(dictionaries[k][-MAIN_BYTES:], LEVEL) for k in self.langs]
+        self.short = [self.coder(dictionaries[k], SHORT_LEVEL) for k in self.langs]
+
+    @staticmethod
+    def coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """(language, score, margin)."""
         if not self.langs or not text or not _letter.search(text):
             return UNKNOWN, 0.0, 0.0
-        body = text.encode("utf-8", "replace")
+        body = text.lower().encode("utf-8", "replace")
         pieces = [body[k : k + PIECE_BYTES] for k in range(0, len(body), PIECE_BYTES)]
-        sizes = np.array([sum(len(c.compress(p)) for p in pieces) for c in self.coders], float)
+        sizes = np.array([sum([len(c.compress(p)) for p in pieces]) for c in self.main], float)
+        if len(body) <= SHORT_BYTES:
+            sizes += [len(c.compress(body)) for c in self.short]
         best = int(sizes.argmin())
         rest = np.delete(sizes, best)
         margin = float((rest.min() - sizes[best]) / sizes[best]) if len(rest) else 1.0

@@ -62,8 +62,8 @@ sh AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
-both AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
-reach(node, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT both.y, reach.comp FROM reach JOIN both ON both.x = reach.node),
+ends AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(node, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT ends.y, reach.comp FROM reach JOIN ends ON ends.x = reach.node),
 least AS (SELECT node, min(comp) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.node = d.doc_id
