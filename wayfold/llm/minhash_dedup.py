@@ -7,10 +7,13 @@ estimate only rules out pairs that lie ``SIGMAS`` standard errors below the thre
 the full sets.  A pair at 85 % is missed by all bands with probability (1 - 0.85**4)**24, about 2e-8.
 
 Copies share one set, so sets stand for their copies.  A bucket never gives all its pairs: each member first
-meets the bucket's least member (a star).  What the confirmed stars leave in different components
-is then compared: members outside the least member's component against the bucket, the bucket dealt
-into salted shares of about ``SHARE`` rows.  Pairs inside one component need no comparison, so no
-link that could change a component is lost, and there is no cap.
+meets the bucket's hub (a star), the member that shares most buckets with others and so lies in the
+middle of its group.  What the confirmed stars leave in different components is then compared:
+members outside the hub's component against the bucket, the bucket dealt into salted shares of about
+``SHARE`` rows, each pair in its first common bucket only.  For these members alone a longer signature of
+``LONG`` single bits is made, whose estimate rules out nearly all pairs below the threshold.  Pairs
+inside one component need no comparison, so no link that could change a component is lost, and
+there is no cap.
 
 Null texts and texts without words have an empty set and are linked with nothing; shorter texts than a shingle are one
 shingle; repeated rows (same id) fall together; extra columns are ignored.  An empty table gives an
@@ -37,6 +40,7 @@ ROWS = 4
 BITS = 2
 SIGMAS = 5.0
 SHARE = 2000
+LONG = 2048
 #: Links hold from this share of common shingles on, in percent.
 PERCENT = 85
 PACKED = HASHES * BITS // 64
@@ -44,6 +48,7 @@ PACKED = HASHES * BITS // 64
 _rng = np.random.Generator(np.random.PCG64(5))
 _FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
 _OFFSETS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_LONG_FACTORS = _rng.integers(1, 2**63, LONG, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def _sets(column) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -65,17 +70,32 @@ def _sets(column) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         yield lo, hi, out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The HASHES minima of a set."""
-    best = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(shingles), 2048):
-        x = shingles[k : k + 2048]
+def signature(shingles: np.ndarray, factors: np.ndarray = _FACTORS, offsets: np.ndarray | int = _OFFSETS[:, None]) -> np.ndarray:
+    """The minima of a set, one for each factor."""
+    best = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 1024):
+        x = shingles[k : k + 1024]
         x = x ^ (x >> U64(29))
         # Multiplication modulo 2**64 orders by the high bits, which all bits of x reach.
-        np.minimum(best, (x[None, :] * _FACTORS[:, None] + _OFFSETS[:, None]).min(1), out=best)
+        np.minimum(best, (x[None, :] * factors[:, None] + offsets).min(1), out=best)
     return best
 
 
+def long_signatures(sets: DataFrame) -> DataFrame:
+    """id and the lowest bit of each of LONG minima, packed into longs."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for body in batch.column(1):
+                bits = (mix(signature(np.frombuffer(body.as_buffer(), np.uint64), _LONG_FACTORS, U64(1))) & U64(1)).astype(np.uint8)
+                rows.append(np.packbits(bits).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "long"])
+
+    return sets.select("id", "shingles").mapInArrow(run, f"id {kind}, long array<bigint>")
+
+
 def pack(minima: np.ndarray) -> np.ndarray:
     """The low BITS bits (after mixing) of each minimum, packed into PACKED longs."""
     low = mix(minima) & U64((1 << BITS) - 1)
@@ -144,11 +164,17 @@ def estimate(a: str, b: str) -> Column:
     return 1 - mismatches(a, b) / F.lit(HASHES * (1 - 0.5**BITS))
 
 
-def least_estimate(percent: int = PERCENT) -> float:
+def long_estimate(a: str, b: str) -> Column:
+    """The same from the longer signatures of single bits."""
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(LONG // 64)), F.lit(0))
+    return 1 - differ / F.lit(LONG * 0.5)
+
+
+def least_estimate(percent: int = PERCENT, hashes: int = HASHES, bits: int = BITS) -> float:
     """The estimate SIGMAS standard errors below the threshold."""
-    j = percent / 100
-    miss = (1 - j) * (1 - 0.5**BITS)
-    return j - SIGMAS * (miss * (1 - miss) / HASHES) ** 0.5 / (1 - 0.5**BITS)
+    j, chance = percent / 100, 1 - 0.5**bits
+    miss = (1 - j) * chance
+    return j - SIGMAS * (miss * (1 - miss) / hashes) ** 0.5 / chance
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -185,10 +211,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     heads = cut(heads, "heads")
 
     buckets = heads.select("id", F.explode("bands").alias("key"))
-    shared = cut(buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = cut(buckets.join(shared, "key"), "members")  # key, id, hub, n
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    linked = cut(buckets.join(shared, "key"), "linked")  # key, id, n
+    middle = linked.groupBy("id").agg(F.sum("n").alias("w"))
+    hubs = linked.join(middle, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub"))
+    members = cut(linked.join(hubs, "key"), "members")  # key, id, n, hub
 
-    # Stars: every member with the least members of its buckets, the pairs that may be similar enough.
+    # Stars: every member with the hubs of its buckets, the pairs that may be similar enough.
     floor = least_estimate(percent)
     sizes = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -205,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = cut(_confirm(star, sets, percent), "confirmed")
     found = cut(components(edges), "components")
 
-    rest = residual_pairs(members, heads, found, floor, percent)
+    rest = residual_pairs(members, heads, sets, found, percent)
     more = cut(_confirm(rest, sets, percent), "confirmed")
     if not more.isEmpty():
         found = cut(components(edges.unionByName(more)), "components")
@@ -216,21 +245,28 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def residual_pairs(members: DataFrame, heads: DataFrame, found: DataFrame, floor: float, percent: int) -> DataFrame:
+def residual_pairs(members: DataFrame, heads: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) that share a bucket, lie in different components and may be similar enough."""
     name = found.select(F.col("node").alias("id"), "component")
     own = members.join(name, "id", "left").withColumn("component", F.coalesce("component", "id"))
     hubs = name.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
     own = own.join(hubs, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
     open_ = own.groupBy("key").agg(F.max(F.col("component") != F.col("hub_component")).alias("open")).where("open").select("key")
-    own = own.join(open_, "key", "left_semi").join(heads.select("id", F.col("n_shingles").alias("s"), "packed"), "id")
-    own = cut(own.withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")), "open-buckets")
+    own = cut(own.join(open_, "key", "left_semi"), "open-buckets")
+    ids = own.select("id").distinct()
+    detail = heads.join(ids, "id", "left_semi").select("id", F.col("n_shingles").alias("s"), "packed", "bands").join(long_signatures(sets.join(ids, "id", "left_semi")), "id")
+    own = cut(own.join(detail, "id").withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")), "open-members")
+    floor, long_floor = least_estimate(percent), least_estimate(percent, LONG, 1)
     left = own.where("component <> hub_component").select(
-        "key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("packed").alias("px"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        "key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("packed").alias("px"), F.col("long").alias("lx"), F.col("bands").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
     )
-    right = own.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("hub_component").alias("hy"), F.col("s").alias("sy"), F.col("packed").alias("py"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"))
+    right = own.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("hub_component").alias("hy"), F.col("s").alias("sy"), F.col("packed").alias("py"), F.col("long").alias("ly"), F.col("bands").alias("by"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"))
     # Two members outside the hub's component meet once, in order of their ids.
-    pairs = left.join(right, ["key", "share"]).where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("hy")) | (F.col("x") < F.col("y"))) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")) & (estimate("px", "py") >= floor))
+    common = F.filter(F.zip_with("bx", "by", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())
+    pairs = left.join(right, ["key", "share"]).where(
+        (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("hy")) | (F.col("x") < F.col("y"))) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy"))
+        & (estimate("px", "py") >= floor) & (long_estimate("lx", "ly") >= long_floor) & (common[0] == F.col("key"))
+    )
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
