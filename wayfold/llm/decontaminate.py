@@ -46,19 +46,22 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.select("item_id", "size", F.array_join("g", " ").alias("gram"), F.xxhash64("size", "g").alias("h"))
 
 
-def _verified(w: Column, grams: list[tuple[int, str, int]]) -> Column:
-    """The windows of ``w`` that are among ``grams`` (size, gram, hash)."""
-    none = F.array().cast(CANDIDATES)
+def _verified(w: str, grams: list[tuple[int, str, int]]) -> Column:
+    """The windows of the words in column ``w`` that are among ``grams`` (size, gram, hash).
 
-    def of_size(n: int) -> Column:
-        hashes = [g[2] for g in grams if g[0] == n]
-        texts = [g[1] for g in grams if g[0] == n]
-        starts = F.sequence(F.lit(1), F.size(w) - F.lit(n) + 1)
-        near = F.filter(starts, lambda i: F.xxhash64(F.lit(n), F.slice(w, i, n)).isin(hashes))
-        named = F.transform(near, lambda i: F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice(w, i, n), " ").alias("gram")))
-        return F.when(F.size(w) >= n, F.filter(named, lambda x: x["gram"].isin(texts))).otherwise(none)
+    As SQL text, because a set of thousands of literals is parsed in one go.  Grams hold no quotes
+    and no backslashes: ``WORD`` admits neither.
+    """
 
-    return F.concat(none, *[of_size(n) for n in sorted({g[0] for g in grams})])
+    def of_size(n: int) -> str:
+        hashes = ", ".join(f"{g[2]}L" if g[2] > -(2**63) else f"(-{2**63 - 1}L - 1L)" for g in grams if g[0] == n)
+        texts = ", ".join(f"'{g[1]}'" for g in grams if g[0] == n)
+        near = f"filter(sequence(1, size({w}) - {n - 1}), i -> xxhash64({n}, slice({w}, i, {n})) IN ({hashes}))"
+        named = f"transform({near}, i -> named_struct('at', i, 'size', {n}, 'gram', array_join(slice({w}, i, {n}), ' ')))"
+        return f"CASE WHEN size({w}) >= {n} THEN filter({named}, x -> x.gram IN ({texts})) ELSE CAST(array() AS {CANDIDATES}) END"
+
+    parts = [of_size(n) for n in sorted({g[0] for g in grams})]
+    return F.expr(f"concat(CAST(array() AS {CANDIDATES}), {', '.join(parts)})" if parts else f"CAST(array() AS {CANDIDATES})")
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -67,11 +70,11 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Data
     blocks = max(1, -(-grams.count() // MAX_SET))
     out = docs.withColumn("__w", words_of(F.col("text")))
     if blocks == 1:
-        return out.withColumn("__hits", _verified(F.col("__w"), [tuple(r) for r in grams.collect()]))
+        return out.withColumn("__hits", _verified("__w", [tuple(r) for r in grams.collect()]))
     out = out.withColumn("__hits", F.array().cast(CANDIDATES))
     for k in range(blocks):
         own = [tuple(r) for r in grams.where(F.expr(f"pmod(h, {blocks}) = {k}")).collect()]
-        out = cut(out.withColumn("__hits", F.concat("__hits", _verified(F.col("__w"), own))), f"decontaminate-{k}")
+        out = cut(out.withColumn("__hits", F.concat("__hits", _verified("__w", own))), f"decontaminate-{k}")
     return out
 
 
@@ -108,7 +111,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     """``docs`` without its contaminated rows, all columns kept; nothing is shuffled."""
     rows = with_hits(docs, benchmark, width)
     clean = ~is_contaminated(_covered(F.col("__hits")), F.size("__w").cast("long"))
-    return rows.where(clean).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # As a generator and not a filter: a filter would be pushed below the columns it reads, and the
+    # words cut anew for every window.
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.when(clean, F.array(F.lit(1)))).alias("__clean"))
+    return rows.drop("__clean")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
