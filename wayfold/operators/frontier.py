@@ -115,7 +115,7 @@ def search(
             F.col("dst"),
             F.col("road_id").alias("e_road"),
             F.col("secs"),
-        )
+        ).where((F.col("secs") >= 0) & ~F.isnan("secs"))  # an edge without a time must not rank below a finite cost
     )
     join_on = ["start", "src"] if edges_keyed_by_start else ["src"]
 

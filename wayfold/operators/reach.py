@@ -32,9 +32,10 @@ from wayfold.operators.routes import rebuild_routes
 JUNCTION_PENALTY_S = 5.0
 DEFAULT_BUDGET_S = 30.0
 INF_COST = 1000.0
+# Labels of that cost or more are left out, as there; ``cut_secs=None`` keeps them (needed for budgets near it).
 
 
-def reachable_roads(records, roads, adj, budget_secs: float = DEFAULT_BUDGET_S) -> DataFrame:
+def reachable_roads(records, roads, adj, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
     """(start_road, road_id, cost, within) per distinct start road; start included (cost 0)."""
     starts = start_roads(records, roads).select(F.col("road_id").alias("start"), F.col("road_id").alias("node"))
     edges = adj.select(F.col("road_id").alias("src"), F.col("nbr").alias("dst"), F.col("nbr").alias("road_id"), "secs")
@@ -44,7 +45,7 @@ def reachable_roads(records, roads, adj, budget_secs: float = DEFAULT_BUDGET_S)
         penalty=JUNCTION_PENALTY_S,
         penalty_first=True,
         limit=budget_secs,
-        cut=INF_COST,
+        cut=cut_secs,
         max_rounds=int(budget_secs / JUNCTION_PENALTY_S) + 3,
     )
     return lab.select(
@@ -73,9 +74,9 @@ def region_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
     ).select("start_road", "src", "dst", "road_id", "secs")
 
 
-def region_labels(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S) -> DataFrame:
+def region_labels(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
     """Region search labels keyed by start road: (start, node, cost, pred, road_id)."""
-    reached = reachable_roads(records, roads, adj, budget_secs)
+    reached = reachable_roads(records, roads, adj, budget_secs, cut_secs)
     pts = region_points(reached, roads)
     redges = region_edges(pts, edges).withColumnRenamed("start_road", "start")
     starts = start_roads(records, roads).select(F.col("road_id").alias("start"), F.col("a").alias("node"))
@@ -83,22 +84,22 @@ def region_labels(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGE
         starts,
         redges,
         penalty=0.0,
-        cut=INF_COST,
+        cut=cut_secs,
         edges_keyed_by_start=True,
     )
 
 
-def region_shortest_paths(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S) -> DataFrame:
+def region_shortest_paths(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
     """(start_road, dst, cost) for every region point reachable from the start point."""
-    lab = region_labels(records, roads, adj, edges, budget_secs)
+    lab = region_labels(records, roads, adj, edges, budget_secs, cut_secs)
     return lab.where(F.col("pred").isNotNull()).select(
         F.col("start").alias("start_road"), F.col("node").alias("dst"), "cost"
     )
 
 
-def region_results(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S) -> DataFrame:
+def region_results(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
     """Per distinct start road: (start_road, dst, cost, route) with the start road in front."""
-    lab = region_labels(records, roads, adj, edges, budget_secs)
+    lab = region_labels(records, roads, adj, edges, budget_secs, cut_secs)
     routes = rebuild_routes(lab)
     route = F.col("route")
     return (
@@ -115,8 +116,8 @@ def region_results(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDG
     )
 
 
-def region_routes(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S) -> DataFrame:
+def region_routes(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
     """End-to-end TCSP per record: (event_id, start_road, dst, cost, route)."""
-    res = region_results(records, roads, adj, edges, budget_secs)
+    res = region_results(records, roads, adj, edges, budget_secs, cut_secs)
     recs = start_points(records, roads).select("event_id", F.col("road_id").alias("start_road"))
     return recs.join(res, "start_road").select("event_id", "start_road", "dst", "cost", "route")

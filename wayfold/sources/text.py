@@ -80,7 +80,7 @@ def parse_road_attrs(lines: DataFrame) -> DataFrame:
     """(road_id, km, secs, p_first, p_last): seconds at 60 km/h, 3 decimals."""
     parts = F.split(F.trim(F.col("value")), ";")
     pts = F.split(F.get(parts, 2), POINT_LIST_SEP)
-    km = F.element_at(parts, -1).cast("double")
+    km = F.element_at(parts, -1).try_cast("double")
     return lines.select(
         F.get(parts, 0).alias("road_id"),
         km.alias("km"),
@@ -111,7 +111,7 @@ def parse_point_topology(lines: DataFrame) -> DataFrame:
         "src",
         F.concat_ws(",", F.get(f, 0), F.get(f, 1)).alias("dst"),
         F.get(f, 2).alias("road_id"),
-        (F.get(f, 3).cast("double") * 60.0).alias("secs"),
+        (F.get(f, 3).try_cast("double") * 60.0).alias("secs"),
     )
 
 
@@ -143,11 +143,11 @@ def parse_road_topology(lines: DataFrame) -> DataFrame:
     head = F.split(F.get(parts, 0), ",")
     return lines.select(
         F.get(head, 0).alias("road_id"),
-        F.get(head, 1).cast("double").alias("lon1"),
-        F.get(head, 2).cast("double").alias("lat1"),
+        F.get(head, 1).try_cast("double").alias("lon1"),
+        F.get(head, 2).try_cast("double").alias("lat1"),
         _end_roads(F.coalesce(F.get(parts, 1), F.lit(""))).alias("start_roads"),
-        F.get(head, 3).cast("double").alias("lon2"),
-        F.get(head, 4).cast("double").alias("lat2"),
+        F.get(head, 3).try_cast("double").alias("lon2"),
+        F.get(head, 4).try_cast("double").alias("lat2"),
         _end_roads(F.coalesce(F.get(parts, 2), F.lit(""))).alias("end_roads"),
     )
 
