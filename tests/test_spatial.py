@@ -91,6 +91,66 @@ def test_roads_near_the_pole_are_found(spark):
     assert all(700 < r.dist_m < 850 for r in got)
 
 
+def _unit(lon, lat):
+    import numpy as np
+
+    lo, la = np.radians(lon), np.radians(lat)
+    return np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)], axis=-1)
+
+
+def _densified_m(r, s, n=1500):
+    """Least distance between the points of two arcs, each cut into ``n`` parts."""
+    import numpy as np
+
+    t = np.linspace(0, 1, n)[:, None]
+    p, q = ((1 - t) * _unit(x[1], x[2]) + t * _unit(x[3], x[4]) for x in (r, s))
+    p, q = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (p, q))
+    chord = np.sqrt(np.maximum(2 - 2 * (p @ q.T).max(), 0))
+    return 2 * 6370693.5 * np.arcsin(chord / 2)
+
+
+def test_roads_across_the_180_degree_line_are_found(spark):
+    from wayfold.operators.spatial_jobs import roads_within_distance
+
+    rows = [("a", 179.99, 10.0, 179.9995, 10.0), ("b", -179.9995, 10.0, -179.99, 10.0), ("c", 179.998, 10.005, -179.998, 10.005), ("d", 179.9, 10.0, 179.95, 10.0)]
+    roads = spark.createDataFrame(rows, "road_id string, xa double, ya double, xb double, yb double")
+    got = {(r.start_road, r.road_id): r.dist_m for r in roads_within_distance(roads.select("road_id"), roads, 1000.0).collect()}
+    assert set(got) == {(p, q) for p in "abc" for q in "abc" if p != q}
+    assert abs(got["a", "b"] - 109.5) < 0.5
+
+
+def test_distance_join_equals_densified_segments(spark):
+    """All pairs of random roads at low, middle and polar latitudes and at the 180 degree line, each once."""
+    import random
+
+    from wayfold.operators.spatial_jobs import roads_within_distance
+
+    rnd = random.Random(3)
+    rows = []
+    for lon, lat, wide in [(10, 0, 0.03), (20, 60, 0.06), (179.995, 45, 0.04), (0, 89.99, 180), (0, -89.985, 180)]:
+        for _ in range(14):
+            ax, ay = lon + rnd.uniform(-wide, wide), min(max(lat + rnd.uniform(-0.01, 0.01), -90.0), 90.0)
+            bx, by = ax + rnd.uniform(-wide, wide) / 2, min(max(ay + rnd.uniform(-0.01, 0.01), -90.0), 90.0)
+            rows.append((f"r{len(rows)}", (ax + 180) % 360 - 180, ay, (bx + 180) % 360 - 180, by))
+    roads = spark.createDataFrame(rows, "road_id string, xa double, ya double, xb double, yb double")
+    for radius in (400.0, 1000.0):
+        rs = roads_within_distance(roads.select("road_id"), roads, radius).collect()
+        got = {(r.start_road, r.road_id): r.dist_m for r in rs}
+        assert len(rs) == len(got)  # no pair twice
+        for r in rows:
+            for s in rows:
+                if r != s:
+                    d = _densified_m(r, s, 300)
+                    if d < radius - 25:
+                        assert abs(got[r[0], s[0]] - d) < 25
+                    elif d > radius + 25:
+                        assert (r[0], s[0]) not in got
+    oblique = [("p", 0.012, 60.0, 0.012, 60.0), ("q", 0.0, 60.0, 0.02, 60.02)]
+    pair = spark.createDataFrame(oblique, "road_id string, xa double, ya double, xb double, yb double")
+    got = roads_within_distance(pair.select("road_id"), pair, 1000.0).collect()
+    assert len(got) == 2 and all(abs(r.dist_m - _densified_m(*oblique, 3000)) < 0.5 for r in got)
+
+
 def test_rows_without_a_time_are_no_part_of_a_sequence(spark):
     from wayfold.operators.spatial_jobs import consecutive_pairs
 

@@ -86,41 +86,3 @@ def facing_end_is_first(gx, gy, x1, y1, x2, y2, ox, oy) -> Column:
     direction to the other point.  Ties or undefined angles pick end 2."""
     p = project_to_segment(gx, gy, x1, y1, x2, y2)
     return facing_end_is_first_from(p["x"], p["y"], x1, y1, x2, y2, ox, oy)
-
-
-def with_projection(df, x, y, x1, y1, x2, y2, out: str):
-    """``df`` plus struct column ``out`` = ``project_to_segment(x, y, x1, y1, x2, y2)``,
-    computed in three projections so every intermediate (foot, end distances)
-    is evaluated once per row.
-
-    The single-expression form re-inlines the foot into each comparison; in a
-    job evaluating several projections per row (segment-to-segment distance)
-    that tree grows to tens of kilobytes of generated code.  Here each stage
-    references the previous one's non-trivial columns more than once, so the
-    optimizer keeps the stages apart instead of collapsing them back.
-    """
-    x, y, x1, y1, x2, y2 = map(_c, (x, y, x1, y1, x2, y2))
-    keep = [F.col(c) for c in df.columns]
-    t = f"_{out}_"
-    dx, dy = x2 - x1, y2 - y1
-    den = dx * dx + dy * dy
-    cross = x1 * y2 - x2 * y1
-    along = x * dx + y * dy
-    s1 = df.select(
-        *keep,
-        x1.alias(t + "x1"), y1.alias(t + "y1"), x2.alias(t + "x2"), y2.alias(t + "y2"),
-        den.alias(t + "den"),
-        F.try_divide(dx * along + dy * cross, den).alias(t + "x0"),
-        F.try_divide(dy * along - dx * cross, den).alias(t + "y0"),
-    )
-    c = {k: F.col(t + k) for k in ("x1", "y1", "x2", "y2", "den", "x0", "y0")}
-    s2 = s1.select(
-        "*",
-        ((c["x1"] - c["x0"]) * (c["x1"] - c["x0"]) + (c["y1"] - c["y0"]) * (c["y1"] - c["y0"])).alias(t + "df"),
-        ((c["x2"] - c["x0"]) * (c["x2"] - c["x0"]) + (c["y2"] - c["y0"]) * (c["y2"] - c["y0"])).alias(t + "dl"),
-    )
-    d_first, d_last = F.col(t + "df"), F.col(t + "dl")
-    outside = F.greatest(d_first, d_last) > c["den"]
-    px = F.when(c["x0"].isNull(), c["x1"]).when(outside & (d_first > d_last), c["x2"]).when(outside, c["x1"]).otherwise(c["x0"])
-    py = F.when(c["y0"].isNull(), c["y1"]).when(outside & (d_first > d_last), c["y2"]).when(outside, c["y1"]).otherwise(c["y0"])
-    return s2.select(*keep, F.struct(px.alias("x"), py.alias("y")).alias(out))
