@@ -228,6 +228,22 @@ def test_blocks():
     assert html_extract.blocks(None) == html_extract.blocks("") == [] and html_extract.blocks("<p>a</p><p unclosed")[0][0] == "a"
 
 
+def test_blocks_of_pages_with_forgotten_end_tags():
+    read = lambda page: [b[0] for b in html_extract.blocks(page)]
+    body = "<article><p>One</p><div>Two</div></article>"
+    assert read(f"<html><head><title>t</title><body>{body}") == ["One", "Two"]
+    assert read(f"<head><meta charset=x><title>t</title>{body}") == ["One", "Two"]
+    assert read("<head><title>t</title><link href=x> Words <b>here</b>") == ["Words here"] and read("<head>Words") == ["Words"]
+    assert read(f"<head><title>t<meta charset=x></head><body>{body}") == ["One", "Two"]
+    assert read(f"<html><title>t{body}<svg><title>x</title></svg>") == ["One", "Two"]
+    assert read("<head><title>The <p> tag</title></head><p>One") == ["One"]
+    for tag in ("button", "object", "svg", "iframe", "select"):
+        assert read(f"<body><{tag}>x{body}<{tag}>y</{tag}><p>Three") == ["One", "Two", "Three"], tag
+        assert read(f"<body><p>Zero</p><{tag}>x<div>y</div></{tag}>{body}") == ["Zero", "One", "Two"], tag
+    assert read(f"<select><option>a<option>b{body}") == ["One", "Two"]
+    assert read("<svg><foreignObject><div>x</div></foreignObject><svg></svg></svg><p>One") == ["One"]
+
+
 def test_html_extract(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     weights = html_extract.fit(pages, sample_pages=80, rounds=2, steps=60)

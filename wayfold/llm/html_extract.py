@@ -46,6 +46,16 @@ SILENT = frozenset("script style noscript template textarea select button svg he
 #: A start tag of these closes an open paragraph, as browsers do it.
 CLOSES_P = BLOCK - {"option", "optgroup", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "head"}
 
+#: Start tags that may stand in a head; any other one, or text, ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style noscript noframes template".split())
+#: Silent tags that pages forget to close; those without an end tag of their own end at the next block.
+FORGOTTEN = frozenset("title button select svg iframe object".split())
+#: Of these, a start tag inside another one of its name ends that.
+NOT_NESTED = FORGOTTEN - {"svg", "object"}
+#: Of these the content is text up to the end tag.
+AS_TEXT = frozenset({"title", "iframe"})
+
+_ends = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>?", re.I) for t in FORGOTTEN}
 _markup = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z))", re.S)
 #: Their content is no markup; it ends at their own end tag.
 _raw_end = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "noscript", "template")}
@@ -53,6 +63,20 @@ _attr = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _part = re.compile(r"[a-z]+")
 
 
+def _closed(page: str, name: str) -> dict[int, int]:
+    """Where the tags ``name`` that have an end tag begin, and where that end tag ends."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in _ends[name].finditer(page):
+        if not m.group(1):
+            if name in NOT_NESTED:
+                open_.clear()
+            open_.append(m.start())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, path, characters inside links) of the leaf blocks in page order."""
     out: list = []
@@ -61,6 +85,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
     names: list[str] = []
     paths: list[tuple[str, ...]] = [()]
     parts: list[str] = []
+    closed: dict[str, dict[int, int]] = {}
+    loose: list[int] = []  # depths of open tags without an end tag of their own
     linked = silent = links = at = 0
 
     def flush():
@@ -74,17 +100,22 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         parts.clear()
         linked = 0
 
-    def close(name):
+    def cut(depth):
         nonlocal silent, links
-        while names:
+        while len(names) > depth:
             top = names.pop()
             paths.pop()
             silent -= top in SILENT
             links -= top == "a"
-            if top == name:
-                return
+        while loose and loose[-1] >= depth:
+            loose.pop()
+
+    def close(name):
+        cut(len(names) - 1 - names[::-1].index(name))
 
     while m := _markup.search(page, at):
+        if silent and names[-1] == "head" and page[at : m.start()].strip():
+            close("head")
         if m.start() > at and not silent:
             raw = page[at : m.start()]
             parts.append(raw)
@@ -102,6 +133,10 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
             if name in names and (wide or not any(t in BLOCK for t in names[len(names) - names[::-1].index(name) :])):
                 close(name)
             continue
+        if silent and name not in IN_HEAD and "head" in names:
+            close("head")
+        if wide and loose and not (name in ("option", "optgroup") and names[loose[0]] == "select"):
+            cut(loose[0])
         if wide and names:
             if name in CLOSES_P and "p" in names:
                 inner = next((t for t in reversed(names) if t in BLOCK), None)
@@ -116,6 +151,15 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         if name in _raw_end:
             at = _raw_end[name].search(page, at).end()
             continue
+        if name in FORGOTTEN:
+            if name not in closed:
+                closed[name] = _closed(page, name)
+            end = closed[name].get(m.start())
+            if end and name in AS_TEXT:
+                at = end
+                continue
+            if not end:
+                loose.append(len(names))
         attrs = m.group(3)
         own = (name,)
         if "=" in attrs and name != "a":
@@ -124,6 +168,8 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], int]]:
         paths.append(paths[-1] + own)
         silent += name in SILENT
         links += name == "a"
+    if silent and names[-1] == "head" and page[at:].strip():
+        close("head")
     if not silent:
         parts.append(page[at:])
     flush()
