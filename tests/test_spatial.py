@@ -91,6 +91,17 @@ def test_roads_near_the_pole_are_found(spark):
     assert all(700 < r.dist_m < 850 for r in got)
 
 
+def test_long_roads_that_come_close_at_one_end_are_found(spark):
+    from wayfold.operators.spatial_jobs import roads_within_distance
+
+    for sign in (1.0, -1.0):
+        rows = [("a", 0.0, sign * 60.0, 0.0, sign * 61.0), ("b", 0.0185, sign * 60.0, 0.0185, sign * 61.0)]
+        roads = spark.createDataFrame(rows, "road_id string, xa double, ya double, xb double, yb double")
+        got = roads_within_distance(roads.select("road_id"), roads, 1000.0).collect()
+        assert sorted((r.start_road, r.road_id) for r in got) == [("a", "b"), ("b", "a")]
+        assert all(997 < r.dist_m < 998 for r in got)
+
+
 def _unit(lon, lat):
     import numpy as np
 
