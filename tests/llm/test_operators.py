@@ -215,6 +215,16 @@ def test_secret_scan(spark, secrets):
     assert secret_scan.findings(empty(spark), secrets).count() == 0
 
 
+def test_secret_scan_finds_short_and_unassigned_forms(spark, secrets):
+    yes = {"mysql://root:S3cr3tPw@db and on": "S3cr3tPw", "redis://:p4ssW0rd!@10.0.0.1:6379/0": "p4ssW0rd!", "run --password hunter2secret now": "hunter2secret", "set password=abc123 here": "abc123", "DB_PASSWORD=x7Kq9": "x7Kq9", "app password abcdxqzkfjghwpvm here": "abcdxqzkfjghwpvm", "login with qzjxkvwpbmfhgtrd now": "qzjxkvwpbmfhgtrd"}
+    no = ["the secret garden was open and the key word is token ring", "mail mailto:bob@example.com now", "author: John Miller", "git@github.com:user/repo", "monkey business and a turkey sandwich", "organisationally unimaginative", "x" * 5000 + ":" + "y@" * 3]
+    texts = [*yes, *no]
+    found = secret_scan.findings(frame(spark, texts), secrets).where("is_secret").collect()
+    assert {(texts[r.doc_id], r.value) for r in found} == set(yes.items())
+    out = rows(secret_scan.redacted(frame(spark, texts), secrets))
+    assert all(out[k].text == t.replace(yes.get(t, "\0"), "[SECRET]") for k, t in enumerate(texts))
+
+
 def test_secret_forest_held_out(secrets):
     reader, forest = secret_scan.Reader(set(secrets["words"]), secrets["pairs"]), secret_scan.Forest(secrets["trees"])
     fresh = secret_scan.labelled_findings(["some quite ordinary words for a test of the forest"], 600, seed=99)
