@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from wayfold.llm import decontaminate, html_extract, language_id, maxent_lm, minhash_dedup, quality_rules, secret_scan, sentencepiece_bpe, toxicity, url_filter
 
 DOCS = "doc_id bigint, text string, lang string, score string, held_out int"
@@ -187,6 +188,15 @@ def test_near_duplicates_with_large_groups(spark, monkeypatch):
     assert minhash_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_pipeline_links_copies_from_four_fifths_on(spark):
+    base = [f"w{k}" for k in range(104)]  # 100 shingles
+    texts = [" ".join(base), " ".join([*base[:-10], *(f"x{k}" for k in range(10))]), " ".join([*base[:-13], *(f"y{k}" for k in range(13))])]
+    docs = frame(spark, texts)  # 90 of 110 shingles are common to the first two (0.818), 87 of 113 (0.770) to the first and third
+    assert minhash_dedup.deduplicated(docs).count() == 3
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == {0, 2} and kept.columns == docs.columns
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 2**63, 900, dtype=np.uint64))
