@@ -117,6 +117,16 @@ def test_language_id(spark):
     assert language_id.identify(empty(spark), dictionaries).count() == 0
 
 
+def test_every_sampled_row_is_in_the_dictionary(spark):
+    data = [(n, f"r{n:04d} " * 400, "aa") for n in range(300)] + [(300 + n, f"short{n:04d}", "bb") for n in range(300)]
+    got = language_id.fit(spark.createDataFrame(data, "doc_id bigint, text string, lang string"))
+    for content, least in ((got["aa"], 34), (got["aa"][-language_id.MAIN_BYTES :], 16)):
+        assert min(content.count(f"r{n:04d}".encode()) for n in range(300)) >= least
+    assert len(got["aa"]) <= language_id.DICTIONARY_BYTES and all(f"short{n:04d}".encode() in got["bb"] for n in range(300))
+    mixed = [b"x" * 5, b"y" * 1000, b"z" * 1000]
+    assert language_id.share(mixed, 1000) == 496 and language_id.share([], 9) == 0 and language_id.share(mixed, 9000) == 1000
+
+
 def test_language_id_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = rows(language_id.identify(docs, language_id.fit(language_id.training_rows(docs))))

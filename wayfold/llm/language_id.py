@@ -4,8 +4,9 @@ For every language a zstandard raw-content dictionary is made of training text.
 lower case, is encoded with each dictionary, piece by piece, and belongs to the language whose dictionary makes it smallest.
 Where the runner-up is hardly larger the answer is narrow and the text is rejected.
 
-Fitting takes at most ``SAMPLE_ROWS`` training rows for each language (whole texts) and keeps at most
-``DICTIONARY_BYTES`` of each; the number of languages is the number of values in the training column
+Fitting takes at most ``SAMPLE_ROWS`` training rows for each language and a stretch from the middle of each, equally
+long where the texts are long enough; together they fill at most ``DICTIONARY_BYTES``, and the first pieces
+of all stretches the ``MAIN_BYTES`` at the end.  The number of languages is the number of values in the training column
 (at most ``MAX_LANGUAGES``).  Scoring reads every text whole, in pieces of
 ``PIECE_BYTES`` so that the dictionary and not the text's own beginning explains each piece.
 
@@ -54,14 +55,35 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int =
     ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample_rows).drop("__n")
+    rows = docs.join(F.broadcast(ids.limit(sample_rows * MAX_LANGUAGES)), ["doc_id", "lang"], "left_semi")
+    # More than an equal share of each, since short texts leave the others room; what is too much goes again.
     stretch = 4 * (dictionary_bytes // sample_rows + 1)
     start = F.greatest(F.lit(1), ((F.length("text") - stretch) / 2).cast("int"))
-    rows = docs.join(F.broadcast(ids.limit(sample_rows * MAX_LANGUAGES)), ["doc_id", "lang"], "left_semi")
     rows = rows.select("lang", F.xxhash64("doc_id").alias("k"), F.lower(F.substring(F.col("text"), start, F.lit(stretch))).alias("part"))
     parts: dict[str, list] = {}
     for r in rows.collect():
         parts.setdefault(r["lang"], []).append((r["k"], r["part"].encode("utf-8", "replace")))
-    return {lang: b"\n".join(dict.fromkeys(p for _, p in sorted(own)))[-dictionary_bytes:] for lang, own in parts.items()}
+    return {lang: dictionary(list(dict.fromkeys(p for _, p in sorted(own))), dictionary_bytes) for lang, own in parts.items()}
+
+
+def share(parts: list[bytes], total: int) -> int:
+    """The most bytes of each part (and a separator) that fit together into ``total``."""
+    left, n = total, len(parts)
+    for size in sorted(map(len, parts)):
+        if (size + 1) * n > left:
+            return max(0, left // n - 1)
+        left, n = left - size - 1, n - 1
+    return max(map(len, parts), default=0)
+
+
+def dictionary(parts: list[bytes], total: int) -> bytes:
+    """A stretch from the middle of every part; the last half of the result has the first piece of each."""
+    size = share(parts, total - len(parts))  # two pieces of each, a separator behind both
+    parts = [p[max(0, (len(p) - size) // 2) :][:size] for p in parts]
+    first = share(parts, total // 2)
+    main = b"\n".join(p[:first] for p in parts)
+    rest = b"\n".join(p[first:] for p in parts if len(p) > first)
+    return (rest + b"\n" + main)[-total:] if rest else main
 
 
 class Encoder:
