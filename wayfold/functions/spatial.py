@@ -29,45 +29,32 @@ def great_circle_m(lon1, lat1, lon2, lat2) -> Column:
     return F.lit(EARTH_RADIUS_M) * F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
 
 
+#: Vectors shorter than this (degrees, a tenth of a millimetre) have no direction, and cosines closer than it are equal.
+NOISE = 1e-9
+#: Distances that differ by less (metres) are equal: the law of cosines is no finer over a road's length.
+TIE_M = 1e-3
+
+
 def project_to_segment(x, y, x1, y1, x2, y2) -> Column:
-    """Foot of the perpendicular from (x, y) to segment (x1, y1)-(x2, y2) in the
-    lon/lat plane, clamped to the nearer end when it falls outside the segment.
+    """The point of segment (x1, y1)-(x2, y2) nearest to (x, y) in the lon/lat plane.
 
-    Returns ``struct<x: double, y: double>``.  A zero-length segment returns its
-    end point (the reference yields NaN there).
-    """
+    The share of the way from the first to the second end at which the perpendicular meets the line is
+    held within 0 and 1.  Returns ``struct<x: double, y: double>``; a segment without length gives its
+    end (the reference yields NaN there)."""
     x, y, x1, y1, x2, y2 = map(_c, (x, y, x1, y1, x2, y2))
-    dx = x2 - x1
-    dy = y2 - y1
-    den = dx * dx + dy * dy
-    cross = x1 * y2 - x2 * y1
-    along = x * dx + y * dy
-    x0 = F.try_divide(dx * along + dy * cross, den)
-    y0 = F.try_divide(dy * along - dx * cross, den)
-    d_first = (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)
-    d_last = (x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)
-    outside = F.greatest(d_first, d_last) > den
-    px = (
-        F.when(x0.isNull(), x1)
-        .when(outside & (d_first > d_last), x2)
-        .when(outside, x1)
-        .otherwise(x0)
-    )
-    py = (
-        F.when(y0.isNull(), y1)
-        .when(outside & (d_first > d_last), y2)
-        .when(outside, y1)
-        .otherwise(y0)
+    dx, dy = x2 - x1, y2 - y1
+    share = F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy)
+    share = F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0))
+    return F.struct(
+        F.when(share >= 1.0, x2).otherwise(x1 + share * dx).alias("x"),
+        F.when(share >= 1.0, y2).otherwise(y1 + share * dy).alias("y"),
     )
-    return F.struct(px.alias("x"), py.alias("y"))
 
 
 def _cosine(vx, vy, ux, uy) -> Column:
-    """Cosine of the angle between two plane vectors; null where the angle is undefined (a zero
-    vector, or a quotient outside [-1, 1])."""
-    length = F.sqrt(vx * vx + vy * vy) * F.sqrt(ux * ux + uy * uy)
-    cosine = F.try_divide(vx * ux + vy * uy, length)
-    return F.when(F.abs(cosine) <= 1.0, cosine)
+    """Cosine of the angle between two plane vectors; null where one of them has no direction."""
+    v, u = F.sqrt(vx * vx + vy * vy), F.sqrt(ux * ux + uy * uy)
+    return F.when((v > NOISE) & (u > NOISE), F.try_divide(vx * ux + vy * uy, v * u))
 
 
 def facing_end_is_first_from(tx, ty, x1, y1, x2, y2, ox, oy) -> Column:
@@ -77,7 +64,7 @@ def facing_end_is_first_from(tx, ty, x1, y1, x2, y2, ox, oy) -> Column:
     vx, vy = _c(ox) - tx, _c(oy) - ty
     c1 = _cosine(vx, vy, _c(x1) - tx, _c(y1) - ty)
     c2 = _cosine(vx, vy, _c(x2) - tx, _c(y2) - ty)
-    return F.coalesce(c1 > c2, F.lit(False))  # the smaller angle has the larger cosine
+    return F.coalesce(c1 > c2 + NOISE, F.lit(False))  # the smaller angle has the larger cosine
 
 
 def facing_end_is_first(gx, gy, x1, y1, x2, y2, ox, oy) -> Column:

@@ -184,7 +184,8 @@ def q_candidate_roads(spark, sf_dir):
 
 def q_project_to_road(spark, sf_dir):
     net = load_network(spark, sf_dir)
-    return spatial_jobs.project_to_road(net.gps, net.roads)
+    p = spatial_jobs.project_to_road(net.gps, net.roads)
+    return p.select("event_id", "road_id", F.round("px", 9).alias("px"), F.round("py", 9).alias("py"))
 
 
 def q_great_circle_distance(spark, sf_dir):
