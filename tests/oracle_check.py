@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -30,8 +31,10 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 9)
+    if v is None or v is pd.NA:
+        return None
+    if isinstance(v, float):  # pandas holds whole numbers beside nulls as floats
+        return None if math.isnan(v) else int(v) if v.is_integer() else round(v, 9)
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     return v
