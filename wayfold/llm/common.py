@@ -27,7 +27,35 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back (cuts lineage)."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing lazy reads them any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def attach(rows: DataFrame, key: str, values: DataFrame, column: str, share: int = 1000) -> DataFrame:
+    """``rows`` with ``column`` of ``values`` (one row for each ``key``, with ``n``, the number of ``rows`` that have it).
+
+    Keys with more than one row in ``share`` are at most ``share`` many: these are broadcast, and their rows are dealt evenly
+    in the join with all other keys, so that no task gets the rows of a hot key.  A null key finds nothing.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot = values.where(F.col("n") * share > total).select(F.col(key).alias("__hot"), F.col(column).alias("__hot_value"))
+    rest = values.where(F.col("n") * share <= total).select(F.col(key).alias("__rest"), F.col(column).alias("__value"))
+    kind = rows.schema[key].dataType
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    settled = F.col("__hot").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("__key", F.when(settled, F.xxhash64(F.monotonically_increasing_id()).cast(kind)).otherwise(F.col(key)))
+    out = out.join(rest, F.col("__key") == F.col("__rest"), "left")
+    out = out.withColumn(column, F.when(F.col("__hot").isNotNull(), F.col("__hot_value")).when(F.col(key).isNotNull(), F.col("__value")))
+    return out.drop("__hot", "__hot_value", "__key", "__rest", "__value")
 
 
 def remainder(doc_id: str | Column, mod: int) -> Column:

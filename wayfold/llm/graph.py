@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 MAX_ROUNDS = 60
 
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
-        state = cut(_contract(_contract(state, True), False), "edges")
+        before, state = state, cut(_contract(_contract(state, True), False), "edges")
+        discard(before)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

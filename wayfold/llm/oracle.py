@@ -70,5 +70,54 @@ FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.node = d.doc_id
 """
 
 
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT doc_id, n, form, t, a, b, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def _op11(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every distance of every round in full; whole numbers below 2**53 stay exact as doubles."""
+    nearest = """
+{a} AS MATERIALIZED (
+  SELECT vec_id, part, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e), 'entry': entry}}) AS m
+  FROM pieces JOIN {c} USING (part) GROUP BY vec_id, part
+)"""
+    step = """
+{c} AS MATERIALIZED (
+  SELECT part, entry, coalesce(s.e, o.e) AS e FROM {o} o LEFT JOIN (
+    SELECT part, entry, list(v ORDER BY i) AS e FROM (
+      SELECT part, m.entry AS entry, i, floor(sum(x[i]) / count(*)) AS v FROM pieces JOIN {a} USING (vec_id, part), size, range(1, width + 1) t(i) GROUP BY ALL
+    ) GROUP BY part, entry
+  ) s USING (part, entry)
+)"""
+    ctes = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda v: floor(1024 * CAST(v AS DOUBLE))) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda v: v IS NOT NULL AND coalesce(isfinite(v), false)))
+),
+size AS MATERIALIZED (SELECT CAST(max(len(x)) // {parts} AS BIGINT) AS width FROM kept),
+pieces AS MATERIALIZED (SELECT vec_id, part, x[part * width + 1:(part + 1) * width] AS x FROM kept, size, range({parts}) t(part)),
+c0 AS MATERIALIZED (
+  SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x AS e FROM pieces
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})
+)"""]
+    for k in range(rounds):
+        ctes += [nearest.format(a=f"a{k}", c=f"c{k}"), step.format(c=f"c{k + 1}", o=f"c{k}", a=f"a{k}")]
+    ctes.append(nearest.format(a="last", c=f"c{rounds}"))
+    ctes.append(f"""
+books AS (SELECT sha256(string_agg(CAST(CAST(e[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256 FROM c{rounds}, size, range(1, width + 1) t(i)),
+coded AS (SELECT vec_id, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM last GROUP BY vec_id)""")
+    return "WITH " + ",".join(ctes) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), books
+"""
+
+
 def llm_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2, "op6_decontaminate": _OP6, "op7_quality_rules": _OP7, "op8_minhash_dedup": _OP8}
+    return {"op2_url_filter": _OP2, "op6_decontaminate": _OP6, "op7_quality_rules": _OP7, "op8_minhash_dedup": _OP8, "op11_vector_codes": _op11(), "op13_fill_in_middle": _OP13}

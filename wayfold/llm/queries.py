@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, maxent_lm, minhash_dedup, quality_rules, secret_scan, sentencepiece_bpe, toxicity, url_filter
+from . import decontaminate, fill_in_middle, html_extract, language_id, maxent_lm, minhash_dedup, quality_rules, secret_scan, sentencepiece_bpe, simhash_dedup, toxicity, url_filter, vector_codes
 from .common import remainder, table
 
 
@@ -65,6 +65,18 @@ def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_secret_scan, op2_url_filter, op3_toxicity, op4_html_extract, op5_language_id, op6_decontaminate, op7_quality_rules, op8_minhash_dedup, op9_sentencepiece, op10_maxent_lm]
+    own = [op1_secret_scan, op2_url_filter, op3_toxicity, op4_html_extract, op5_language_id, op6_decontaminate, op7_quality_rules, op8_minhash_dedup, op9_sentencepiece, op10_maxent_lm, op11_vector_codes, op12_simhash_dedup, op13_fill_in_middle]
     return {f.__name__: f for f in own}
