@@ -1,47 +1,77 @@
-"""Multi-source label-correcting search as a loop of DataFrame joins and aggregations.
-
-One loop serves every search of the reference (road reach, uniform-cost search,
-region Dijkstra, point-to-point routes).  Instead of one in-memory search per
-record, all distinct starts are searched together: the state is a table of
-labels ``(start, node, cost, pred, road_id)``; each round joins the labels
-improved in the previous round (the frontier) to the edge table, keeps the best
-candidate per ``(start, node)`` and merges it into the state.
-
-Per round:
-  frontier --join edges on node--> candidates --union state--> min per (start, node)
-  * the min is a partial (map-side) aggregate, so hot starts/nodes are combined
-    before the shuffle;
-  * the join with the edge table is planned by Catalyst/AQE: broadcast when the
-    edge table's runtime size is under the threshold, shuffle join otherwise;
-  * the new state is checkpointed to the reliable checkpoint folder
-    (``spark.checkpoint.dir``) so lineage stays one round deep and a lost
-    executor only recomputes the current round.
-
-Determinism: the label of a node is the minimum of ``(cost, road_id, pred)``;
-an existing label is replaced only by a strictly cheaper one.  Rounds are
-synchronous, so any engine running the same rule (e.g. DuckDB's keyed recursive
-CTE in the oracle) gets identical labels and routes.
-
-The result is exact: no cap on rounds, frontier or candidates.  The loop stops
-when no label improves; ``max_rounds`` only guards against a non-terminating
-input (negative cycles) and raises instead of truncating.
+"""Multi-source search in rings of cost, on tables that stay where they are.
+
+One loop serves every search of the reference (road reach, uniform-cost search, region Dijkstra, point-to-point
+routes).  All distinct starts are searched together.  Labels ``(start, node, cost, hops, road_id, pred)`` stand in a log that is
+bucketed by ``(start, node)``; edges are placed once, sent out if measured small, else bucketed by their source.
+
+Costs are cut into rings of one width.  A round expands the labels of the cheapest open ring only:
+
+  log --rows of the ring--> labels --join--> edges --> candidates
+  candidates --partial minimum, exchange--> union log (no exchange) --minimum--> what is new --> log
+
+so what is shuffled follows the active labels, never the state; the log is read where it lies.  When the width is no more than the cheapest step, a ring is final when it is expanded.  With cheaper
+steps in a ring, it is gone over again for its new labels until there are none.  Where rounds find little, the
+next takes twice as many rings, so that a long thin tail of costs does not take a round for each ring.  The log keeps
+improvements as rows; every ``COMPACT`` rounds it is rewritten with one row for each label, bucket by bucket.
+
+A label is the least ``(cost, hops, road_id, pred)`` of all its paths.  Every hop adds to ``hops``, so the predecessors form a
+tree even over edges without cost, and the result depends on neither the order of rounds nor on partitions.  A synchronous
+relaxation with the rule "replace only by a strictly cheaper label, ties by (road_id, pred)" gives the same labels, which is what the oracle runs.
+
+The result is exact: no cap on rounds, frontier or candidates.  ``max_rounds`` guards against a search without an end and
+raises instead of truncating.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from wayfold.session import ensure_checkpoint_dir
+from wayfold.tables import BROADCAST_BYTES, Bucketed, Placed, dealt, discard
+from wayfold.tables import cut as write_once
+
+LABEL_COLS = ["start", "node", "cost", "pred", "road_id", "hops"]
+#: Rounds between two rewritings of the log.
+COMPACT = 16
+#: Rounds between two looks at the targets that are still open; an older look prunes less, not wrongly.
+LOOK = 4
+#: A round that finds less than this part of the largest one doubles the number of rings taken at once.
+THIN = 0.25
+#: A ring is at least so many mean steps wide: fewer rounds, against some labels that are expanded twice.
+LEAST_WIDTH = 4.0
+#: Rings ahead of the present one that a round reports one by one; further ones are looked up in the log.
+AHEAD = 62
+
+
+def _label() -> Column:
+    """A label, ordered."""
+    return F.struct("cost", "hops", "road_id", "pred")
+
+
+def _best(log: DataFrame) -> DataFrame:
+    """One row for each (start, node): an aggregate inside the log's buckets."""
+    return log.groupBy("start", "node").agg(F.min(F.struct(_label().alias("l"), "round")).alias("m")).select("start", "node", "m.l.*", "m.round")
+
 
-LABEL_COLS = ["start", "node", "cost", "pred", "road_id"]
-# cost of a target placeholder that no path has reached yet
-UNLABELLED = float("inf")
+def _box_distance(speed: float | None) -> str:
+    """Least seconds from an edge's end to the box of a start's open targets by plane distance; 0 where either has no place."""
+    if not speed or math.isinf(speed):
+        return "0D"
+    dx, dy = "greatest(x0 - dst_x, dst_x - x1, 0D)", "greatest(y0 - dst_y, dst_y - y1, 0D)"
+    return f"coalesce(sqrt({dx} * {dx} + {dy} * {dy}) / {speed * (1 + 1e-9)!r}D, 0D) * nvl2(x0 + dst_x + dst_y, 1D, 0D)"
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _open_targets(targets: DataFrame, log: DataFrame, settled_below: float) -> DataFrame:
+    """Per start with a target that is not settled: the dearest label among these (infinite if one has none) and their box."""
+    best = log.join(targets.select("start", "node").hint("shuffle_hash"), ["start", "node"]).groupBy("start", "node").agg(F.min("cost").alias("cost"))
+    left = targets.join(best, ["start", "node"], "left").where(F.col("cost").isNull() | (F.col("cost") >= settled_below))
+    return left.groupBy("start").agg(
+        F.max(F.coalesce("cost", F.lit(math.inf))).alias("bound"),
+        # a target without a place makes the box unknown
+        *[F.when(F.count("*") == F.count("x"), f(c)).alias(n) for f, c, n in ((F.min, "x", "x0"), (F.max, "x", "x1"), (F.min, "y", "y0"), (F.max, "y", "y1"))],
+    )
 
 
 def search(
@@ -54,128 +84,141 @@ def search(
     cut: float | None = None,
     edges_keyed_by_start: bool = False,
     targets: DataFrame | None = None,
+    width: float | None = None,
     max_rounds: int = 100_000,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    trace: list | None = None,
 ) -> DataFrame:
-    """Label-correcting search from every start at once.
+    """Cheapest labels from every start at once.
 
     starts   (start, node): root node of each search; ``start`` is any id.
-    edges    (src, dst, road_id, secs) [+ start when ``edges_keyed_by_start``]:
-             directed edges; per-start edge sets (a region) carry ``start``.
-    penalty  seconds added per step; ``penalty_first`` chooses the summation
-             order ``cost + penalty + secs`` (road reach) instead of
-             ``cost + secs + penalty`` (UCS), as the two reference jobs differ.
+    edges    (src, dst, road_id, secs) [+ start when ``edges_keyed_by_start``]: directed edges; per-start edge sets (a
+             region) carry ``start``.  Edges without a time (null, NaN, negative) are left out.
+    penalty  seconds added per step; ``penalty_first`` chooses the summation order ``cost + penalty + secs`` (road reach) instead
+             of ``cost + secs + penalty`` (UCS), as the two reference jobs differ.
     limit    labels with cost > limit are kept but not expanded.
     cut      candidates with cost >= cut are dropped (the reference's INF).
-    targets  (start, node): optional target set; once all targets of a start
-             are labelled, frontier labels of that start not cheaper than the
-             dearest target are not expanded (they cannot improve or tie any
-             target label, as edge costs are positive).
-
-    Returns labels (start, node, cost DOUBLE, pred, road_id STRING); the root
-    has cost 0 and null pred/road_id.
+    targets  (start, node) [, x, y]: only these labels, and those on their routes, need be final.  A start is searched until
+             all its targets are settled.  With places (x, y here; dst_x, dst_y in ``edges``) the search is goal-directed:
+             from a node to the box of a start's open targets it takes at least the plane distance divided by the
+             fastest edge's speed, and what can't beat the dearest open target's label even so is dropped.
+    width    of a ring; by default the cheapest step, or LEAST_WIDTH mean steps if that is more.
+    broadcast_bytes  edges that are larger, as written, are bucketed by their source instead of sent out.
+    trace    a list that gets (ring, improvements) for every round.
+
+    Returns labels (start, node, cost DOUBLE, pred, road_id STRING, hops), bucketed by (start, node); the root has cost 0, 0
+    hops and null pred and road_id.  With ``targets``, labels beyond them may be missing or not the cheapest.
     """
+    spark = starts.sparkSession
     node_type = dict(starts.dtypes)["node"]
-    state = starts.select(
-        "start",
-        "node",
-        F.lit(0.0).alias("cost"),
-        F.lit(None).cast(node_type).alias("pred"),
-        F.lit(None).cast("string").alias("road_id"),
-        F.lit(True).alias("changed"),
-        F.lit(False).alias("is_target"),
+    placed = targets is not None and {"x", "y"} <= set(targets.columns) and {"dst_x", "dst_y"} <= set(edges.columns)
+    keys = ["start", "src"] if edges_keyed_by_start else ["src"]
+    usable = edges.where((F.col("secs") >= 0) & ~F.isnan("secs"))
+    measures = {"step": F.min("secs"), "mean": F.avg("secs")}
+    if placed:
+        span = F.hypot(F.col("dst_x") - F.col("src_x"), F.col("dst_y") - F.col("src_y"))
+        measures["speed"] = F.max(F.when(F.col("secs") > 0, span / F.col("secs")).when(span > 0, F.lit(math.inf)).otherwise(F.lit(0.0)))
+    e = Placed(
+        usable.select(*keys, "dst", F.col("road_id").alias("e_road"), "secs", *(["src_x", "src_y", "dst_x", "dst_y"] if placed else [])), "edges", keys, measures, broadcast_bytes
     )
+    step, mean = e.measures["step"], e.measures["mean"]
+    if width is None:
+        width = math.inf if step is None else max(step + penalty, LEAST_WIDTH * (mean + penalty)) or math.inf
+    speed = e.measures.get("speed")
+    last = math.inf if limit is None or math.isinf(width) else math.floor(limit / width) + 1  # the ring of all that is not expanded
+
+    if math.isinf(width):
+        ring = "0L"
+    else:
+        ring = f"floor(cost / {float(width)!r}D)" if math.isinf(last) else f"least(floor(cost / {float(width)!r}D), {last}L)"
+
+    def log_of(rows: DataFrame) -> Bucketed:
+        table = Bucketed(spark, "labels", ["start", "node"])
+        table.append(rows)
+        return table
+
+    root = starts.select("start", "node").distinct().select(
+        "start", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("road_id"), F.lit(None).cast(node_type).alias("pred"), F.lit(0).alias("round")
+    )
+    log = log_of(root)
+    goal = None
     if targets is not None:
-        # targets enter the state as unlabelled placeholders (infinite cost,
-        # never expanded) flagged ``is_target``; the per-round minimum carries
-        # the flag, so the per-start bound is an aggregate over flagged rows,
-        # not a join of the targets with the whole state every round
-        state = state.unionByName(
-            targets.select(
-                "start",
-                "node",
-                F.lit(UNLABELLED).alias("cost"),
-                F.lit(None).cast(node_type).alias("pred"),
-                F.lit(None).cast("string").alias("road_id"),
-                F.lit(False).alias("changed"),
-                F.lit(True).alias("is_target"),
-            )
-        )
-    state = _checkpoint(
-        state.groupBy("start", "node")
-        .agg(F.min(F.struct("cost", "pred", "road_id", "changed")).alias("m"), F.max("is_target").alias("is_target"))
-        .select("start", "node", "m.cost", "m.pred", "m.road_id", "m.changed", "is_target")
-    )
-
-    # the edge set is read every round: materialise it once (network- or
-    # region-sized), so rounds neither recompute its lineage nor re-plan it
-    e = _checkpoint(
-        edges.select(
-            *(["start"] if edges_keyed_by_start else []),
-            F.col("src"),
-            F.col("dst"),
-            F.col("road_id").alias("e_road"),
-            F.col("secs"),
-        ).where((F.col("secs") >= 0) & ~F.isnan("secs"))  # an edge without a time must not rank below a finite cost
-    )
-    join_on = ["start", "src"] if edges_keyed_by_start else ["src"]
-
-    for _ in range(max_rounds):
-        frontier = state.where("changed").select("start", F.col("node").alias("src"), "cost")
-        if limit is not None:
-            frontier = frontier.where(F.col("cost") <= F.lit(float(limit)))
-        if frontier.isEmpty():
-            return state.where(F.col("cost") < F.lit(UNLABELLED)).select(*LABEL_COLS)
-        if targets is not None:
-            frontier = _prune_by_targets(frontier, state)
-
-        step = F.col("cost") + F.lit(float(penalty)) + F.col("secs") if penalty_first else (
-            F.col("cost") + F.col("secs") + F.lit(float(penalty))
-        )
-        cand = frontier.join(e, join_on).select(
-            "start",
-            F.col("dst").alias("node"),
-            step.alias("cost"),
-            F.lit(1).alias("is_new"),
-            F.col("e_road").alias("road_id"),
-            F.col("src").alias("pred"),
-            F.lit(False).alias("is_target"),
+        goal = Bucketed(spark, "targets", ["start", "node"])
+        place = ["x", "y"] if placed else [F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")]
+        goal.append(targets.select("start", "node", *place).dropDuplicates(["start", "node"]))
+
+    waiting, unknown = {0}, math.inf  # rings from ``unknown`` on are not in ``waiting``
+    now, end, span, again = 0, 1, 1, False  # the rings from ``now`` to before ``end`` are taken together
+    rounds, since, largest, open_ = 0, 0, 0, None
+    while True:
+        if not again:
+            if min(waiting, default=math.inf) >= unknown or (not waiting and math.isfinite(unknown)):
+                beyond = _best(log.read()).select(F.expr(ring).alias("r")).where(F.col("r") >= end).distinct().collect()  # numbers of rings
+                waiting, unknown = waiting | {r["r"] for r in beyond}, math.inf
+            if not waiting or min(waiting) >= last:
+                break
+            now = min(waiting)
+            end = now + span
+            waiting = {r for r in waiting if r >= end}
+        if rounds >= max_rounds:
+            raise RuntimeError(f"search did not end in {max_rounds} rounds")
+        rounds, since = rounds + 1, since + 1
+
+        if goal is not None and (open_ is None or rounds % LOOK == 0):
+            left = Observation()
+            look = _open_targets(goal.read(), log.read(), now * width if math.isfinite(width) else 0.0)
+            before, open_ = open_, write_once(look.observe(left, F.count(F.lit(1)).alias("starts")), "open")
+            if before is not None:
+                discard(before)
+            if not left.get["starts"]:
+                break
+        # One statement a round: the ring's labels, their candidates, and the log's minimum over both, which moves nothing of the log.
+        # Of a label's rows only the best is worth expanding; a worse one whose better lies in an earlier ring is harmless.
+        rows = f"round = {rounds - 1}" if again else f"{ring} >= {now}"
+        within = "" if limit is None else f"AND cost <= {float(limit)!r}D"
+        total = f"cost + {float(penalty)!r}D + secs" if penalty_first else f"cost + secs + {float(penalty)!r}D"
+        drop = [] if cut is None else [f"total < {float(cut)!r}D"]
+        if goal is not None:
+            drop.append(f"total + {_box_distance(speed)} <= bound * (1 + 1e-9D) + 1e-9D")
+        new = spark.sql(
+            f"""
+            SELECT start, node, m.cost, m.hops, m.road_id, m.pred, m.round, {ring.replace("cost", "m.cost")} AS ring FROM (
+              SELECT start, node, min(struct(cost, hops, road_id, pred, round)) AS m FROM (
+                SELECT start, node, cost, hops, road_id, pred, round FROM {log.name}
+                UNION ALL  -- of plain columns: over equal types the union keeps the partitioning of both sides
+                SELECT start, node, m.cost, m.hops, m.road_id, m.pred, {rounds} AS round FROM (
+                  SELECT start, node, min(struct(total AS cost, hops + 1 AS hops, e_road AS road_id, src AS pred)) AS m FROM (
+                    SELECT {e.hint("e")} *, dst AS node, {total} AS total FROM (SELECT start, node AS src, cost, hops FROM {log.name} WHERE {ring} < {end} AND {rows} {within})
+                    JOIN {e.name} e USING ({", ".join(keys)}) {"JOIN {looked} USING (start)" if goal is not None else ""}
+                  ) {"WHERE " + " AND ".join(drop) if drop else ""} GROUP BY start, node
+                )
+              ) GROUP BY start, node
+            ) WHERE m.round = {rounds}
+            """,
+            **({"looked": open_} if goal is not None else {}),
         )
-        if cut is not None:
-            cand = cand.where(F.col("cost") < F.lit(float(cut)))
-        old = state.select(
-            "start", "node", "cost", F.lit(0).alias("is_new"), "road_id", "pred", "is_target"
-        )
-        # keep the old label on equal cost (is_new 0 < 1): replace only when strictly cheaper
-        best = (
-            old.unionByName(cand)
-            .groupBy("start", "node")
-            .agg(F.min(F.struct("cost", "is_new", "road_id", "pred")).alias("m"), F.max("is_target").alias("is_target"))
-            .select(
-                "start",
-                "node",
-                F.col("m.cost").alias("cost"),
-                F.col("m.pred").alias("pred"),
-                F.col("m.road_id").alias("road_id"),
-                (F.col("m.is_new") == 1).alias("changed"),
-                "is_target",
-            )
-        )
-        state = _checkpoint(best)
-    raise RuntimeError(f"search did not converge in {max_rounds} rounds")
-
-
-def _prune_by_targets(frontier: DataFrame, state: DataFrame) -> DataFrame:
-    """Drop frontier labels that cannot improve any target of their start.
-
-    A start whose targets are all labelled is bounded by its dearest target;
-    the bound is a partial aggregate over the state's target rows (map-side
-    combined to one row per start and task before the shuffle)."""
-    found = (
-        state.where(F.col("is_target"))
-        .groupBy("start")
-        .agg(F.max("cost").alias("bound"))
-        .where(F.col("bound") < F.lit(UNLABELLED))
-    )
-    return frontier.join(found, "start", "left").where(
-        F.col("bound").isNull() | (F.col("cost") < F.col("bound"))
-    ).drop("bound")
+        seen = Observation()
+        new = new.observe(seen, F.count(F.lit(1)).alias("rows"), F.expr(f"bit_or(shiftleft(1L, cast(least(ring - {now}, {AHEAD}) AS int)))").alias("rings")).drop("ring")
+        log.append(dealt(new, "start", "node"))
+        got = seen.get
+        met = [now + k for k in range(AHEAD) if (got["rings"] or 0) >> k & 1]
+        if (got["rings"] or 0) >> AHEAD & 1:
+            unknown = min(unknown, now + AHEAD)
+        waiting |= {r for r in met if r >= end}
+        again = any(r < end for r in met)
+        largest = max(largest, got["rows"])
+        span = min(2 * span, AHEAD) if got["rows"] < THIN * largest else 1
+        if trace is not None:
+            trace.append((now, got["rows"]))
+        if since >= COMPACT:
+            log, before, since = log_of(dealt(_best(log.read()), "start", "node")), log, 0
+            before.drop()
+
+    final = log_of(dealt(_best(log.read()), "start", "node"))
+    log.drop()
+    e.drop()
+    if goal is not None:
+        goal.drop()
+        if open_ is not None:
+            discard(open_)
+    return final.close().select(*LABEL_COLS)

@@ -7,10 +7,12 @@ backward, a negative reverse cost meaning one-way), no junction penalty.
 
 The reference opens a database connection per record and runs one search per
 pair.  Here all pairs are answered by one multi-source search per distinct
-source point, bounded per source: once all of a source's targets are labelled,
-labels not cheaper than the dearest target are not expanded (exact, as edge
-costs are positive).  Pairs whose two points coincide have no route and are
-dropped, as are unreachable pairs.
+source point.  Pairs without a directed path are dropped first, so that every
+search ends when its targets are settled.  The search is goal-directed: a label
+whose cost plus the least time to the box of its source's open targets (plane
+distance over the fastest edge's speed) can't beat the dearest of them is not
+followed.  Routes are walked back from the targets only.  Pairs whose two points
+coincide have no route and are dropped, as are unreachable pairs.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators import frontier
+from wayfold.operators.components import reachable
 from wayfold.operators.records import start_roads
-from wayfold.operators.routes import rebuild_routes
+from wayfold.operators.routes import routes_to
+from wayfold.tables import cut
 from wayfold.operators.spatial_jobs import DEFAULT_RADIUS_M, roads_within_distance
 
 
@@ -42,16 +46,16 @@ def edge_table(roads: DataFrame) -> DataFrame:
 
 
 def directed_edges(table: DataFrame) -> DataFrame:
-    """(src, dst, road_id, secs) from an edge table; reverse_cost < 0 = no reverse edge."""
-    fwd = table.where(F.col("cost") >= 0).select(
-        F.col("source").alias("src"), F.col("target").alias("dst"), F.col("roadid").alias("road_id"),
-        F.col("cost").alias("secs"),
-    )
-    back = table.where(F.col("reverse_cost") >= 0).select(
-        F.col("target").alias("src"), F.col("source").alias("dst"), F.col("roadid").alias("road_id"),
-        F.col("reverse_cost").alias("secs"),
-    )
-    return fwd.unionByName(back)
+    """(src, dst, road_id, secs, src_x, src_y, dst_x, dst_y) from an edge table; a negative cost or reverse_cost = no edge that way."""
+    ways = (("source", "target", "cost", "1", "2"), ("target", "source", "reverse_cost", "2", "1"))
+    one, two = (
+        table.where(F.col(secs) >= 0).select(
+            F.col(src).alias("src"), F.col(dst).alias("dst"), F.col("roadid").alias("road_id"), F.col(secs).alias("secs"),
+            F.col("x" + a).alias("src_x"), F.col("y" + a).alias("src_y"), F.col("x" + b).alias("dst_x"), F.col("y" + b).alias("dst_y"),
+        )
+        for src, dst, secs, a, b in ways
+    )
+    return one.unionByName(two)
 
 
 def pair_endpoints(pairs: DataFrame, table: DataFrame) -> DataFrame:
@@ -67,17 +71,18 @@ def pair_endpoints(pairs: DataFrame, table: DataFrame) -> DataFrame:
 def pair_routes(records: DataFrame, roads: DataFrame, radius_m: float = DEFAULT_RADIUS_M) -> DataFrame:
     """(start_road, road_id, cost, route) for every start road of the records and
     every road within ``radius_m`` of it that has a route."""
-    table = edge_table(roads)
-    starts = start_roads(records, roads).select("road_id")
-    near = roads_within_distance(starts, roads, radius_m)
-    # the pair list feeds the search and the final join: materialise it once
-    ends = frontier._checkpoint(pair_endpoints(near, table).where(F.col("from_node") != F.col("to_node")))
-    targets = ends.select(F.col("from_node").alias("start"), F.col("to_node").alias("node")).distinct()
+    return edge_table_routes(edge_table(roads), roads_within_distance(start_roads(records, roads).select("road_id"), roads, radius_m))
+
+
+def edge_table_routes(table: DataFrame, near: DataFrame, trace: list | None = None) -> DataFrame:
+    """(start_road, road_id, cost, route) for the pairs ``near`` (start_road, road_id) over an edge table."""
+    # the pair list feeds the search and the final join, the edges two searches: each is written once
+    ends = cut(pair_endpoints(near, table).where(F.col("from_node") != F.col("to_node")), "pairs")
+    edges = cut(directed_edges(table), "edges")
+    asked = ends.select(F.col("from_node").alias("start"), F.col("to_node").alias("node")).distinct()
+    place = edges.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("dst_x", "dst_y")).alias("at")).select("node", F.col("at.dst_x").alias("x"), F.col("at.dst_y").alias("y"))
+    targets = cut(reachable(asked, edges).join(place, "node", "left"), "targets")
     sources = targets.select("start").distinct().select("start", F.col("start").alias("node"))
-    lab = frontier.search(sources, directed_edges(table), penalty=0.0, targets=targets)
-    hit = lab.join(targets, ["start", "node"], "left_semi")
-    rts = rebuild_routes(lab).join(hit.select("start", "node"), ["start", "node"], "left_semi")
-    res = hit.join(rts, ["start", "node"]).select(
-        F.col("start").alias("from_node"), F.col("node").alias("to_node"), "cost", "route"
-    )
+    lab = frontier.search(sources, edges, penalty=0.0, targets=targets, trace=trace)
+    res = routes_to(lab, targets).select(F.col("start").alias("from_node"), F.col("node").alias("to_node"), "cost", "route")
     return ends.join(res, ["from_node", "to_node"]).select("start_road", "road_id", "cost", "route")

@@ -46,7 +46,6 @@ def reachable_roads(records, roads, adj, budget_secs: float = DEFAULT_BUDGET_S,
         penalty_first=True,
         limit=budget_secs,
         cut=cut_secs,
-        max_rounds=int(budget_secs / JUNCTION_PENALTY_S) + 3,
     )
     return lab.select(
         F.col("start").alias("start_road"),
@@ -75,7 +74,7 @@ def region_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def region_labels(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
-    """Region search labels keyed by start road: (start, node, cost, pred, road_id)."""
+    """Region search labels keyed by start road: (start, node, cost, pred, road_id, hops)."""
     reached = reachable_roads(records, roads, adj, budget_secs, cut_secs)
     pts = region_points(reached, roads)
     redges = region_edges(pts, edges).withColumnRenamed("start_road", "start")
@@ -99,20 +98,15 @@ def region_shortest_paths(records, roads, adj, edges, budget_secs: float = DEFAU
 
 def region_results(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
     """Per distinct start road: (start_road, dst, cost, route) with the start road in front."""
-    lab = region_labels(records, roads, adj, edges, budget_secs, cut_secs)
-    routes = rebuild_routes(lab)
+    routes = rebuild_routes(region_labels(records, roads, adj, edges, budget_secs, cut_secs))
     route = F.col("route")
-    return (
-        lab.where(F.col("pred").isNotNull())
-        .join(routes, ["start", "node"])
-        .select(
-            F.col("start").alias("start_road"),
-            F.col("node").alias("dst"),
-            "cost",
-            F.when(F.element_at(route, 1) == F.col("start"), route)
-            .otherwise(F.concat(F.array(F.col("start")), route))
-            .alias("route"),
-        )
+    return routes.where("hops > 0").select(
+        F.col("start").alias("start_road"),
+        F.col("node").alias("dst"),
+        "cost",
+        F.when(F.element_at(route, 1) == F.col("start"), route)
+        .otherwise(F.concat(F.array(F.col("start")), route))
+        .alias("route"),
     )
 
 

@@ -2,56 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from wayfold.operators.frontier import _checkpoint
+from wayfold.tables import Bucketed, dealt, scratch
+
+#: Levels of routes that are built in one job.
+CHAIN = 3
 
 
-def rebuild_routes(labels: DataFrame, element: str = "road_id", max_rounds: int = 64) -> DataFrame:
-    """Road list from the root to every labelled node, by pointer doubling.
+def rebuild_routes(labels: DataFrame, element: str = "road_id", trace: list | None = None) -> DataFrame:
+    """Road list from the root to every labelled node, level by level over the number of hops.
 
-    labels (start, node, pred, road_id): predecessor tree per start (root has a
-    null pred).  Each round joins every unfinished row with its ancestor's row
-    and concatenates the ancestor's segment in front, so a route of h roads
-    needs ceil(log2 h) + 1 rounds: no per-node walk, no driver loop over rows.
+    labels (start, node, cost, pred, road_id, hops): predecessor tree per start.  The routes of one level are the
+    finished prefixes of the next: a level's labels, dealt by their predecessor, meet the routes of the level before, which
+    are bucketed by their node and do not move.  So every label and every route is shuffled once, and a round
+    holds the rows of ``CHAIN`` levels only.  There are as many levels as the longest route has roads, which the search needed too.
 
-    ``element`` is the label column listed per step: ``road_id`` gives the road
-    list, ``node`` the point list (root excluded).
+    ``element`` is the label column listed per step: ``road_id`` gives the road list, ``node`` the point list (root
+    excluded).  ``trace`` gets (first level, routes) for every round.
 
-    Returns (start, node, route ARRAY<...>) for every label, root included
-    (empty route).
+    Returns (start, node, cost, hops, route ARRAY<...>) for every label, root included (empty route).
     """
+    spark = labels.sparkSession
     etype = dict(labels.dtypes)[element]
-    seg = labels.select(
-        "start",
-        "node",
-        F.col("pred").alias("anc"),
-        F.when(F.col("pred").isNull(), F.array().cast(f"array<{etype}>"))
-        .otherwise(F.array(F.col(element)))
-        .alias("route"),
-    )
-    seg = _checkpoint(seg)
-    for _ in range(max_rounds):
-        if seg.where(F.col("anc").isNotNull()).isEmpty():
-            return seg.select("start", "node", "route")
-        up = seg.select(
-            "start",
-            F.col("node").alias("anc"),
-            F.col("anc").alias("anc_up"),
-            F.col("route").alias("route_up"),
-        )
-        seg = _checkpoint(
-            seg.join(up, ["start", "anc"], "left").select(
-                "start",
-                "node",
-                F.when(F.col("anc").isNull(), F.lit(None)).otherwise(F.col("anc_up")).alias("anc"),
-                F.when(F.col("anc").isNull(), F.col("route"))
-                .otherwise(F.concat(F.col("route_up"), F.col("route")))
-                .alias("route"),
-            )
-        )
-    raise RuntimeError("route rebuild did not finish; predecessor cycle?")
+    steps = Bucketed(spark, "steps", ["start", "pred"], ["hops"])
+    seen = Observation()
+    own = F.col("node") if element == "node" else F.col(element)
+    rows = labels.select("start", "node", "cost", "pred", own.alias("element"), "hops").where("hops > 0")
+    steps.append(rows.observe(seen, F.max("hops").alias("most")))
+    routes = Bucketed(spark, "routes", ["start", "node"], ["hops"])
+    routes.append(labels.where("hops = 0").select("start", "node", "cost", F.array().cast(f"array<{etype}>").alias("route"), "hops"))
+    for first in range(1, (seen.get["most"] or 0) + 1, CHAIN):
+        above = routes.read().where(F.col("hops") == first - 1).select("start", "node", "route")
+        parts = []
+        for level in range(first, min(first + CHAIN, seen.get["most"] + 1)):
+            here = steps.read().where(F.col("hops") == level).join(above.select("start", F.col("node").alias("pred"), F.col("route").alias("prefix")), ["start", "pred"])
+            here = here.select("start", "node", "cost", F.concat("prefix", F.array("element")).alias("route"), F.lit(level).alias("hops"))
+            above = here.repartition(routes.n, "start", "node")  # written, and read by the next level, from one exchange
+            parts.append(above)
+        count = Observation()
+        done = reduce(DataFrame.unionByName, parts).observe(count, F.count(F.lit(1)).alias("rows"))
+        routes.append(dealt(done, "start", "node"))
+        if trace is not None:
+            trace.append((first, count.get["rows"]))
+    steps.drop()
+    return routes.close().select("start", "node", "cost", "hops", "route")
+
+
+def routes_to(labels: DataFrame, wanted: DataFrame, trace: list | None = None) -> DataFrame:
+    """Road lists of the wanted (start, node) only, walked back from there.
+
+    Each round moves the routes that are not at their root yet to their front road's label, which stands in its bucket; a route
+    that has arrived is set aside and read no more, so the rounds hold ever fewer rows.  ``trace`` gets (round, open
+    routes).  Returns (start, node, cost, route); nodes without a label, and roots themselves, have no row.
+    """
+    log = labels.select("start", F.col("node").alias("at"), "pred", "road_id", "hops")
+    open_ = wanted.select("start", "node").distinct().join(labels, ["start", "node"]).where("hops > 0")
+    open_ = open_.select("start", "node", "cost", F.col("pred").alias("at"), F.array("road_id").alias("route"), (F.col("hops") - 1).alias("left"))
+    parts, k = [], 0
+    while True:
+        path = scratch(labels.sparkSession, "walk")
+        count = Observation()
+        now = open_.withColumn("done", F.col("left") == 0).observe(count, F.count(F.when(F.col("left") > 0, 1)).alias("open"))
+        now.write.partitionBy("done").parquet(path)
+        table = labels.sparkSession.read.schema(now.schema).parquet(path)
+        parts.append(table.where("done").select("start", "node", "cost", "route"))
+        if trace is not None:
+            trace.append((k, count.get["open"]))
+        if not count.get["open"]:
+            return reduce(DataFrame.unionByName, parts)
+        k += 1
+        step = table.where("not done").join(log, ["start", "at"])
+        open_ = step.select("start", "node", "cost", F.col("pred").alias("at"), F.concat(F.array("road_id"), F.col("route")).alias("route"), (F.col("left") - 1).alias("left"))
 
 
 def exploded_routes(routes: DataFrame) -> DataFrame:

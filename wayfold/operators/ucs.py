@@ -25,7 +25,7 @@ DEFAULT_MINUTES = 3
 
 
 def budget_labels(records: DataFrame, roads: DataFrame, edges: DataFrame, minutes: float = DEFAULT_MINUTES) -> DataFrame:
-    """Search labels (start, node, cost, pred, road_id) from every distinct start point."""
+    """Search labels (start, node, cost, pred, road_id, hops) from every distinct start point."""
     limit = minutes * 60.0
     starts = (
         start_points(records, roads)
@@ -33,13 +33,11 @@ def budget_labels(records: DataFrame, roads: DataFrame, edges: DataFrame, minute
         .distinct()
         .select("start", F.col("start").alias("node"))
     )
-    # every step costs > 5 s, so no label deeper than limit/5 + 1 steps is expanded
     return frontier.search(
         starts,
         edges,
         penalty=JUNCTION_PENALTY_S,
         limit=limit,
-        max_rounds=int(limit / JUNCTION_PENALTY_S) + 3,
     )
 
 
@@ -58,18 +56,13 @@ def budget_search(records, roads, edges, minutes: float = DEFAULT_MINUTES) -> Da
 def budget_results(records, roads, edges, minutes: float = DEFAULT_MINUTES) -> DataFrame:
     """Per distinct start: (start, dst, cost, within, route ARRAY<STRING>)."""
     limit = minutes * 60.0
-    lab = budget_labels(records, roads, edges, minutes)
-    routes = rebuild_routes(lab)
-    return (
-        lab.where(F.col("pred").isNotNull())
-        .join(routes, ["start", "node"])
-        .select(
-            "start",
-            F.col("node").alias("dst"),
-            "cost",
-            (F.col("cost") <= F.lit(limit)).alias("within"),
-            "route",
-        )
+    routes = rebuild_routes(budget_labels(records, roads, edges, minutes))
+    return routes.where("hops > 0").select(
+        "start",
+        F.col("node").alias("dst"),
+        "cost",
+        (F.col("cost") <= F.lit(limit)).alias("within"),
+        "route",
     )
 
 
