@@ -41,8 +41,8 @@ def _contract(edges: DataFrame, larger_only: bool) -> DataFrame:
     return out.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """``components`` by star contractions alone."""
+def star_components(edges: DataFrame) -> DataFrame:
+    """``components`` by star contractions alone: for edges whose ids follow no layout, so that parts would share most nodes."""
     state = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(MAX_ROUNDS):
@@ -107,7 +107,7 @@ def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:
     shared = named.select("node", F.col("root").alias("u")).join(least.select("node", F.col("root").alias("v")), "node").where("u <> v").select("u", "v").distinct()
     shared = cut(shared, "shared")
     left = shared.count()
-    over = components(shared, local) if left <= n // 2 else _stars(shared)
+    over = components(shared, local) if left <= n // 2 else star_components(shared)
     found = least.join(over.select(F.col("node").alias("root"), "component"), "root", "left")
     return cut(found.select("node", F.coalesce("component", "root").alias("component")), "components")
 
