@@ -14,12 +14,18 @@ Layouts (FIXTURES.md §1):
 
 Splits follow Java's ``String.split`` where the reference relies on it:
 trailing empty items are dropped.  A short line yields nulls (``get``), not an
-error.  Duplicate keys are kept as rows; callers that need one row per key
-choose it explicitly (text order is not defined in a distributed scan).
+error.
+
+The ``parse_*`` functions keep every line.  The ``scan_*`` functions read files as the
+reference's loaders do: a key that several lines give keeps its last line, in the order of file
+name and place in the file, and lines that do not fit the layout go to a side table with the
+reason, instead of ending the job.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +60,72 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, at): lines with their place.  ``at`` orders lines by file name, block and place in the block: one task reads
+    a block from front to back, so the row number that Spark counts there follows the lines, whatever task it is."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", place.alias("at"))
+
+
+@dataclass(frozen=True)
+class Scan:
+    """``rows`` of the lines that fit the layout, ``bad``: (file, value, reason) of the others."""
+
+    rows: DataFrame
+    bad: DataFrame
+
+    def bad_counts(self) -> DataFrame:
+        return self.bad.groupBy("file", "reason").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _scanned(lines: DataFrame, reason: Column, key: Column | None, parse) -> Scan:
+    """Lines with a reason put aside; of the others the last one for each key, parsed."""
+    judged = lines.select("value", "at", reason.alias("reason")).where(F.trim("value") != "")
+    good = judged.where("reason is null")
+    if key is not None:
+        good = good.groupBy(key.alias("key")).agg(F.max_by("value", "at").alias("value"))
+    return Scan(parse(good.select("value")), judged.where("reason is not null").select(F.col("at.file").alias("file"), "value", "reason"))
+
+
+def _is_number(c: Column) -> Column:
+    return c.try_cast("double").isNotNull()
+
+
+def scan_trajectory(spark: SparkSession, path: str) -> Scan:
+    """Every record with a road id field; lines of fewer than nine fields are put aside."""
+    short = F.size(F.split("value", ",")) <= TRAJ_ROAD_FIELD
+    return _scanned(read_ordered_lines(spark, path), F.when(short, "fewer than nine fields"), None, parse_trajectory)
+
+
+def scan_road_attrs(spark: SparkSession, path: str) -> Scan:
+    parts = F.split(F.trim(F.col("value")), ";")
+    reason = F.when(F.size(parts) < 4, "fewer than four fields").when(~_is_number(F.element_at(parts, -1)), "length is no number")
+    return _scanned(read_ordered_lines(spark, path), reason, F.get(parts, 0), parse_road_attrs)
+
+
+def scan_point_topology(spark: SparkSession, path: str) -> Scan:
+    """A point's last line replaces all edges of its earlier ones."""
+    parts = F.split(F.trim(F.col("value")), "\\|")
+    items = _split_nonempty(F.coalesce(F.get(parts, 1), F.lit("")), ";")
+    off = F.exists(items, lambda i: (F.size(F.split(i, ",")) != 4) | ~_is_number(F.get(F.split(i, ","), 3)))
+    reason = F.when(F.size(parts) < 2, "no list of neighbours").when(off, "a neighbour without four fields and a length")
+    return _scanned(read_ordered_lines(spark, path), reason, F.get(parts, 0), parse_point_topology)
+
+
+def scan_road_topology(spark: SparkSession, path: str) -> Scan:
+    head = F.split(F.get(F.split(F.trim(F.col("value")), "\\|"), 0), ",")
+    off = F.size(head) != 5
+    number = F.forall(F.slice(head, 2, 4), lambda x: _is_number(x))
+    reason = F.when(off, "head without five fields").when(~number, "a place is no number")
+    return _scanned(read_ordered_lines(spark, path), reason, F.get(head, 0), parse_road_topology)
+
+
+def scan_grid_index(spark: SparkSession, path: str) -> Scan:
+    row = F.from_json(F.col("value"), GRID_SCHEMA)
+    reason = F.when(row.isNull() | row["GeoHash"].isNull(), "no cell").when(row["nodes"].isNull(), "no list of roads")
+    return _scanned(read_ordered_lines(spark, path), reason, row["GeoHash"], parse_grid_index)
+
+
 # ------------------------------------------------------------------ trajectory
 
 def parse_trajectory(lines: DataFrame) -> DataFrame:
@@ -214,12 +286,18 @@ def format_grid_index(grid: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ edge table
 
+EDGE_COLUMNS = {"id": "string", "roadid": "string", "source": "string", "target": "string", "cost": "double", "reverse_cost": "double", "x1": "double", "y1": "double", "x2": "double", "y2": "double"}
+
+
 def read_edge_table(spark: SparkSession, path: str) -> DataFrame:
-    """Edge table (id, roadid, source, target, cost, reverse_cost, x1, y1, x2, y2)
-    from parquet; the same contract could be read with ``spark.read.jdbc``."""
-    return spark.read.parquet(path).select(
-        "id", "roadid", "source", "target", "cost", "reverse_cost", "x1", "y1", "x2", "y2"
-    )
+    """Edge table from parquet, ids as text whatever their type was; rows without a road, a node or a cost are left out.
+    The same contract could be read with ``spark.read.jdbc``."""
+    table = spark.read.parquet(path)
+    missing = set(EDGE_COLUMNS) - set(table.columns)
+    if missing:
+        raise ValueError(f"the edge table at {path} lacks {sorted(missing)}")
+    own = table.select(*[F.col(c).cast(t).alias(c) for c, t in EDGE_COLUMNS.items()])
+    return own.where("roadid is not null and source is not null and target is not null and cost is not null").withColumn("reverse_cost", F.coalesce("reverse_cost", F.lit(-1.0)))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

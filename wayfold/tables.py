@@ -34,7 +34,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _files(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """(the file system that holds ``path``, the path) as Hadoop objects."""
     context = spark.sparkContext
     at = context._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(context._jsc.hadoopConfiguration()), at
@@ -42,14 +43,14 @@ def _files(spark: SparkSession, path: str):
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Size of all files below ``path``."""
-    files, at = _files(spark, path)
+    files, at = file_system(spark, path)
     return int(files.getContentSummary(at).getLength())
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``cut`` wrote, once nothing lazy reads them any more."""
     for df in tables:
-        files, at = _files(df.sparkSession, df.scratch_path)
+        files, at = file_system(df.sparkSession, df.scratch_path)
         files.delete(at, True)
 
 
@@ -92,7 +93,7 @@ class Bucketed:
     def drop(self) -> None:
         """Remove the name and the files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        files, at = _files(self.spark, self.path)
+        files, at = file_system(self.spark, self.path)
         files.delete(at, True)
 
 
