@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -290,6 +291,88 @@ def test_html_extract(spark):
     assert html_extract.extract(odd.limit(0), weights).count() == 0
 
 
+def test_html_without_a_named_container(spark):
+    """Planted truth: the article stands in the body, in divs without a telling name, in a table."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = html_extract.fit(pages)
+    paras = [f"The {w} of the old town was closed for a long time, and nobody knew when it would be opened again. People {w} waited." for w in ("market", "bridge", "library", "station")]
+    body = "".join(f"<p>{t}</p>" for t in paras)
+    nav = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("home", "news", "sport", "contact"))
+    cases = {
+        "plain body": body,
+        "nav and footer by id": f'<div id="nav"><ul>{nav}</ul></div><div id="txt">{body}</div><div id="footer"><p>All rights reserved</p></div>',
+        "unnamed divs": f"<div><ul>{nav}</ul></div><div><div>{body}</div></div>",
+        "table": f"<ul>{nav}</ul><table><tr><td>{body}</td></tr></table>",
+        "main": f"<nav><ul>{nav}</ul></nav><main>{body}</main><footer><p>All rights reserved</p></footer>",
+    }
+    frame_ = spark.createDataFrame([(k, "u", f"<html><body>{h}</body></html>") for k, h in enumerate(cases.values())], "page_id bigint, url string, html string")
+    got = rows(html_extract.extract(frame_, weights), "page_id")
+    for k, name in enumerate(cases):
+        assert got[k].text == "\n".join(paras), name
+    # pages generated with a mark at every main block, not seen in training
+    rng = np.random.default_rng(99)
+    made = [html_extract.layout(paras, ["Some words beside the article here", "Another thing of the page"], rng)[0] for _ in range(200)]
+    read = [html_extract.blocks(p) for p in made]
+    found = html_extract.label([html_extract.unmarked(b) for b in read], weights)
+    truth = [np.array([f".{html_extract.PLANTED}" in p for _, p, _ in b]) for b in read]
+    assert np.mean(np.concatenate(found) == np.concatenate(truth)) > 0.95
+    assert all(f.any() for f in found)
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    scores = []
+    for n in (2, 8, 64):
+        part = docs.repartition(n)
+        scores.append({r.doc_id: r.score for r in maxent_lm.score(part, maxent_lm.fit(part.select("text"))).collect()})
+    assert all(abs(scores[0][d] - s[d]) < 1e-6 for s in scores[1:] for d in s)
+
+
+def test_language_model_score_against_plain_python(spark, monkeypatch):
+    """The whole model again, token by token: counts, one round for each share, class and word part."""
+    texts = ["a b a c", "b a b a", "c c b", "a b c a b c a b c", "the cat sat", "the cat ran", None]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    monkeypatch.setattr(maxent_lm, "PARTS", (64,))
+    model = maxent_lm.fit(docs.select("text"))
+    batch = pa.array(texts, pa.string())
+    _, _, h, row, ending, _ = next(iter(maxent_lm.tokens(batch)))
+    f, y = maxent_lm.features(h, row), model["classes"](h, ending)
+    prior = np.exp(model["bias"].astype(float))
+    came, expected = {}, {}
+    q = np.exp(model["bias"].astype(float) - model["bias"].max())
+    q /= q.sum()
+    for i in range(len(y)):
+        for b in f[:, i]:
+            came[(b, y[i])] = came.get((b, y[i]), 0) + 1
+            for c in range(maxent_lm.CLASSES):
+                expected[(b, c)] = expected.get((b, c), 0) + q[c]
+    base = maxent_lm.SMOOTH * prior / prior.sum()
+    weight = lambda b, c: maxent_lm.DAMPING * (np.log(came.get((b, c), 0) + base[c]) - np.log(expected.get((b, c), 0) + base[c]))
+    count = {int(k): list(h).count(k) for k in set(h.tolist())}
+    total = np.zeros(len(texts))
+    mass = np.zeros(maxent_lm.CLASSES)
+    kinds = [set() for _ in mass]
+    for i in range(len(y)):
+        mass[y[i]] += 1
+        kinds[y[i]].add(int(h[i]))
+    for i in range(len(y)):
+        z = np.array([model["bias"][c] + sum(weight(b, c) for b in f[:, i]) for c in range(maxent_lm.CLASSES)])
+        p = z[y[i]] - z.max() - np.log(np.exp(z - z.max()).sum())
+        total[row[i]] += p / np.log(10) + np.log10(count[int(h[i])] + 0.5) - np.log10(mass[y[i]] + 0.5 * (len(kinds[y[i]]) + 1))
+    got = rows(maxent_lm.score(docs, model))
+    assert [got[k].score for k in range(len(texts))] == pytest.approx(total.tolist(), rel=1e-4)
+
+
+def test_near_duplicates_with_text_ids_and_an_id_of_two_texts(spark):
+    long = [f"w{k}" for k in range(60)]
+    a, near, other = " ".join(long), " ".join([*long[:59], "x"]), " ".join(f"v{k}" for k in range(60))
+    docs = spark.createDataFrame([("b", a, "k"), ("c", near, "k"), ("a", other, "k"), ("c", other, "k"), ("b", a, "k"), (None, a, "k"), ("z", None, "k")], "doc_id string, text string, node string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()), key=repr)
+    want = [("b", 56, "b", True), ("b", 56, "b", True), ("c", 56, "b", False), ("a", 56, "a", True), ("c", 56, "a", False), (None, 56, "b", False), ("z", 0, "z", True)]
+    assert got == sorted(want, key=repr)
+    assert minhash_dedup.deduplicated(docs).columns == docs.columns
+
+
 def test_lstm_gradients():
     rng = np.random.default_rng(0)
     make = html_extract.Featurizer()

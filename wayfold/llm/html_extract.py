@@ -363,13 +363,25 @@ _HOME = frozenset("article main .article .content .post .entry .story".split())
 
 
 def teacher(path: tuple[str, ...]) -> int:
-    """The label a block's path gives in the training pages."""
+    """The label a block's path gives in those training pages that have a container of a known kind."""
     home = [k for k, t in enumerate(path) if t in _HOME]
     return int(bool(home) and not any(t in _AWAY for t in path))
 
 
+#: Marks main blocks of generated pages; it tells their label and is taken out before anything is learned.
+PLANTED = "plantedmainblock"
+
+
+def unmarked(seq: list) -> list:
+    """Blocks without the mark."""
+    return [(t, tuple(x for x in p if x != f".{PLANTED}"), k) for t, p, k in seq]
+
+
 def layout(paragraphs: list[str], rest: list[str], rng) -> tuple[str, list[str]]:
-    """A generated page: an article of the paragraphs, with other things around and inside it."""
+    """A generated page: an article of the paragraphs, with other things around and inside it.
+
+    The article's blocks carry a mark, whatever they stand in: a container of a known kind, or none at all (the
+    body itself, divs without a telling name, table cells), where only the page as a whole tells them apart."""
     one = lambda options: options[int(rng.integers(len(options)))]
     esc = lambda t: entities.escape(t, quote=False)
     some = lambda: esc(one(rest)[: int(rng.integers(20, 400))]) or "x"
@@ -389,10 +401,18 @@ def layout(paragraphs: list[str], rest: list[str], rng) -> tuple[str, list[str]]
         text = esc(p)
         if chance(0.15):
             text = f'<a href="/x">{text}</a>' if chance(0.3) else f"<b>{text}</b>"
-        body.append(f"<ul><li>{text}</li></ul>" if tag == "li" else f"<{tag}>{text}</{tag}>")
+        mark = f' class="{PLANTED}"'
+        body.append(f"<ul><li{mark}>{text}</li></ul>" if tag == "li" else f"<{tag}{mark}>{text}</{tag}>")
         if chance(0.12):
             body.append(one([ad, side, form, notice])())
     open_, close = one([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ('<main><article class="post">', "</article></main>"), ('<div class="content">', "</div>"), ('<div class="post entry">', "</div>"), ('<div id="content"><div class="article body">', "</div></div>"), ('<section class="story">', "</section>")])
+    if chance(0.4):  # no container that says what it holds
+        open_, close = one([("", ""), ("<div>", "</div>"), ("<div><div>", "</div></div>"), (f'<div id="{one(["txt", "c1", "b2", "page", "x", "wrap", "col"])}">', "</div>"), (f'<div class="{one(["row", "inner", "w80", "block", "c", "box"])}">', "</div>"), ("<table><tr><td>", "</td></tr></table>"), ("<center>", "</center>")])
+        plain = one([f"<ul>{links(int(rng.integers(3, 9)))}</ul>", "<div>" + " | ".join(f'<a href="/{k}">{esc(one(rest).split(" ")[0] or "x")}</a>' for k in range(int(rng.integers(3, 8)))) + "</div>", "<table><tr><td>" + "</td><td>".join(f'<a href="/{k}">{esc(one(rest).split(" ")[0] or "x")}</a>' for k in range(4)) + "</td></tr></table>"])
+        last = one([f"<div>&copy; {int(rng.integers(1998, 2026))} {esc(' '.join(one(rest).split(' ')[:3]))}</div>", f"<p><a href='/i'>{esc(one(rest).split(' ')[0])}</a> <a href='/p'>{esc(one(rest).split(' ')[0])}</a></p>", f'<div id="{one(["footer", "foot", "bottom"])}"><p>{esc(" ".join(one(rest).split(" ")[:5]))}</p></div>'])
+        top = one(["", plain, f'<div id="{one(["nav", "top", "menu"])}"><ul>{links(4)}</ul></div>', nav()])
+        parts = [top, ad() if chance(0.2) else "", open_, *body, close, comments() if chance(0.2) else "", last if chance(0.6) else "", foot() if chance(0.2) else ""]
+        return "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(parts) + "</body></html>", paragraphs
     parts = [nav() if chance(0.8) else "", head() if chance(0.4) else "", notice() if chance(0.3) else "", ad() if chance(0.5) else "", side() if chance(0.25) else "", open_, *body, comments() if chance(0.1) else "", close, comments() if chance(0.35) else "", side() if chance(0.3) else "", form() if chance(0.25) else "", ad() if chance(0.2) else "", foot() if chance(0.8) else ""]
     return "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join(parts) + "</body></html>", paragraphs
 
@@ -401,14 +421,15 @@ def _sequences(pages: list[str], seed: int, generated: int) -> list:
     rng = np.random.default_rng(seed)
     make = Featurizer()
     read = [blocks(p) for p in pages]
-    out = [(make(b), np.array([teacher(p) for _, p, _ in b], np.float32)) for b in read if b]
+    # A page without a known container has no labels: its article is not to be learned as something else.
+    out = [(make(b), np.array([teacher(p) for _, p, _ in b], np.float32)) for b in read if any(teacher(p) for _, p, _ in b)]
     main = [[t for t, p, _ in b if teacher(p)] for b in read]
     main = [m for m in main if m] or [["The first paragraph of a page.", "Another one, a little longer than the first."]]
     rest = [t for b in read for t, p, _ in b] or ["Some words beside the article"]
     for _ in range(generated):
         page, _ = layout(main[int(rng.integers(len(main)))][:40], rest, rng)
         b = blocks(page)
-        out.append((make(b), np.array([teacher(p) for _, p, _ in b], np.float32)))
+        out.append((make(unmarked(b)), np.array([f".{PLANTED}" in p for _, p, _ in b], np.float32)))
     return out
 
 
