@@ -34,10 +34,11 @@ PIECE_BYTES = 8192
 LEVEL = 6
 #: The main encoding uses the last half of a dictionary; offsets into it are cheaper.
 MAIN_BYTES = DICTIONARY_BYTES // 2
-#: Texts up to this size are also encoded with whole dictionaries at another level, and sizes added,
-#: since one encoding of a few words is often equally long in two languages.
-SHORT_BYTES = 256
-SHORT_LEVEL = 4
+#: Every text is encoded twice, the second time with whole dictionaries at this level, and sizes are added, since one
+#: encoding of a few words is often equally long in two languages.
+WHOLE_LEVEL = 4
+#: Parts of a language in which sampled ids are chosen first.
+SALTS = 64
 #: Rejected if the runner-up is less than this share larger than the smallest encoding.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
@@ -53,8 +54,12 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int =
     text, so that one long text can't fill the dictionary and shared headings don't either.
     """
     ids = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample_rows).drop("__n")
+    # First inside each of SALTS parts of a language, then among what these leave: a language's rows never meet in one task.
+    ids = ids.withColumn("__s", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    for own in (["lang", "__s"], ["lang"]):
+        order = Window.partitionBy(*own).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= sample_rows).drop("__n")
+    ids = ids.drop("__s")
     rows = docs.join(F.broadcast(ids.limit(sample_rows * MAX_LANGUAGES)), ["doc_id", "lang"], "left_semi")
     # More than an equal share of each, since short texts leave the others room; what is too much goes again.
     stretch = 4 * (dictionary_bytes // sample_rows + 1)
@@ -92,7 +97,7 @@ class Encoder:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
         self.main = [self.coder(dictionaries[k][-MAIN_BYTES:], LEVEL) for k in self.langs]
-        self.short = [self.coder(dictionaries[k], SHORT_LEVEL) for k in self.langs]
+        self.whole = [self.coder(dictionaries[k], WHOLE_LEVEL) for k in self.langs]
 
     @staticmethod
     def coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -106,9 +111,7 @@ class Encoder:
             return UNKNOWN, 0.0, 0.0
         body = text.lower().encode("utf-8", "replace")
         pieces = [body[k : k + PIECE_BYTES] for k in range(0, len(body), PIECE_BYTES)]
-        sizes = np.array([sum([len(c.compress(p)) for p in pieces]) for c in self.main], float)
-        if len(body) <= SHORT_BYTES:
-            sizes += [len(c.compress(body)) for c in self.short]
+        sizes = np.array([sum([len(c.compress(p)) + len(w.compress(p)) for p in pieces]) for c, w in zip(self.main, self.whole, strict=True)], float)
         best = int(sizes.argmin())
         rest = np.delete(sizes, best)
         margin = float((rest.min() - sizes[best]) / sizes[best]) if len(rest) else 1.0

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits
+from .common import attach, cut, fits
 
 #: The rules of the registered query: (host, path, verdict).
 RULES = [
@@ -65,19 +65,23 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().collect())
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    distinct = urls.select("host", "path").distinct()
+    # A host has no slash and a path begins with one, so both together name the pair.
+    urls = urls.withColumn("url_key", F.concat("host", "path"))
+    distinct = urls.groupBy("host", "path").agg(F.count("*").alias("n"))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     sizes = F.filter(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("path"))
     prefixes = F.transform(sizes, lambda n: F.substring(F.col("path"), F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct(h.alias("h"), p.alias("p")))))
-    terms = distinct.select("host", "path", F.explode(pairs).alias("e")).select("host", "path", F.col("e.h").alias("e_host"), F.col("e.p").alias("e_path"))
+    terms = distinct.select("host", "path", "n", F.explode(pairs).alias("e")).select("host", "path", "n", F.col("e.h").alias("e_host"), F.col("e.p").alias("e_path"))
     terms = terms.withColumn("digest", F.sha2(F.concat("e_host", "e_path"), 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
     side = F.broadcast(rules) if fits(rules, MAX_BROADCAST_RULES) else rules
     hits = terms.join(side, "short").where((F.col("digest") == F.col("r_digest")) & (F.col("e_host") == F.col("r_host")) & (F.col("e_path") == F.col("r_path")))
     # A longer host or path makes a longer rule; equal lengths can't both fit unless host and path
     # trade characters, where the longer host holds.
     order = F.struct(F.length("rule"), F.length("r_host"))
-    best = hits.groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(F.max_by(F.struct("rule", F.col("r_verdict").alias("verdict")), order).alias("hit"))
-    out = urls.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    hit = F.max_by(F.struct("rule", F.col("r_verdict").alias("verdict")), order).alias("hit")
+    best = cut(hits.groupBy(F.concat("host", "path").alias("url_key")).agg(F.max("n").alias("n"), hit), "rules")
+    # One popular url, or all that have no host, may hold a third of the rows: such keys do not go through the shuffle.
+    out = attach(urls, "url_key", best, "hit")
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
