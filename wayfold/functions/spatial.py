@@ -29,6 +29,55 @@ def great_circle_m(lon1, lat1, lon2, lat2) -> Column:
     return F.lit(EARTH_RADIUS_M) * F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))
 
 
+# Semi-major axis (metres) and flattening of the WGS 84 ellipsoid.
+WGS84_A = 6378137.0
+WGS84_F = 1 / 298.257223563
+#: Rounds of the longitude iteration; each shrinks the error by about the flattening (points near each other's antipode aside).
+GEODESIC_ROUNDS = 12
+
+
+def geodesic_m(lon1, lat1, lon2, lat2) -> Column:
+    """Metres along the WGS 84 ellipsoid by Vincenty's inverse formula, as one column.
+
+    The difference of longitudes on the auxiliary sphere is iterated in an aggregate over a short sequence.  Between points
+    almost opposite each other the iteration does not settle; such pairs are no use of a radius search."""
+    rad = lambda v: F.radians(_c(v))
+    f, a, b = WGS84_F, WGS84_A, WGS84_A * (1 - WGS84_F)
+    u1, u2 = (F.atan(F.lit(1 - f) * F.tan(rad(v))) for v in (lat1, lat2))
+    away = rad(lon2) - rad(lon1)
+    fixed = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"))
+
+    def arc(k: Column, lam: Column) -> dict[str, Column]:
+        """Quantities of the great circle on the auxiliary sphere for one difference of longitudes."""
+        p = k["c2"] * F.sin(lam)
+        q = k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam)
+        sin_s, cos_s = F.sqrt(p * p + q * q), k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
+        sin_a = F.coalesce(F.try_divide(k["c1"] * k["c2"] * F.sin(lam), sin_s), F.lit(0.0))
+        cos2a = F.lit(1.0) - sin_a * sin_a
+        mid = cos_s - F.coalesce(F.try_divide(F.lit(2.0) * k["s1"] * k["s2"], cos2a), F.lit(0.0))  # 0 along the equator
+        return {"sin_s": sin_s, "cos_s": cos_s, "s": F.atan2(sin_s, cos_s), "sin_a": sin_a, "cos2a": cos2a, "mid": mid}
+
+    def turned(state: Column, _i: Column) -> Column:
+        g = arc(state["k"], state["lam"])
+        c = F.lit(f / 16) * g["cos2a"] * (F.lit(4.0) + F.lit(f) * (F.lit(4.0) - F.lit(3.0) * g["cos2a"]))
+        inner = g["mid"] + c * g["cos_s"] * (F.lit(-1.0) + F.lit(2.0) * g["mid"] * g["mid"])
+        lam = state["l"] + (F.lit(1.0) - c) * F.lit(f) * g["sin_a"] * (g["s"] + c * g["sin_s"] * inner)
+        return F.struct(state["k"].alias("k"), state["l"].alias("l"), lam.alias("lam"))
+
+    def metres(state: Column) -> Column:
+        g = arc(state["k"], state["lam"])
+        u = g["cos2a"] * F.lit((a * a - b * b) / (b * b))
+        big = F.lit(1.0) + u / 16384 * (F.lit(4096.0) + u * (F.lit(-768.0) + u * (F.lit(320.0) - F.lit(175.0) * u)))
+        small = u / 1024 * (F.lit(256.0) + u * (F.lit(-128.0) + u * (F.lit(74.0) - F.lit(47.0) * u)))
+        m2 = g["mid"] * g["mid"]
+        tail = small / 6 * g["mid"] * (F.lit(-3.0) + F.lit(4.0) * g["sin_s"] * g["sin_s"]) * (F.lit(-3.0) + F.lit(4.0) * m2)
+        shift = small * g["sin_s"] * (g["mid"] + small / 4 * (g["cos_s"] * (F.lit(-1.0) + F.lit(2.0) * m2) - tail))
+        return F.lit(b) * big * (g["s"] - shift)
+
+    start = F.struct(fixed.alias("k"), away.alias("l"), away.alias("lam"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(GEODESIC_ROUNDS)), start, turned, metres)
+
+
 #: Vectors shorter than this (degrees, a tenth of a millimetre) have no direction, and cosines closer than it are equal.
 NOISE = 1e-9
 #: Distances that differ by less (metres) are equal: the law of cosines is no finer over a road's length.
