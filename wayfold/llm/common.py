@@ -1,45 +1,23 @@
 """Helpers shared by the operators of this subpackage.
 
-``scratch``/``cut`` write intermediate tables below ``spark.checkpoint.dir``, the one
-folder all executors share, so that a lost executor never takes a finished step with it.
+``cut`` writes intermediate tables below ``spark.checkpoint.dir``, the one folder all executors share, so that a
+lost executor never takes a finished step with it; ``discard`` deletes them when nothing reads them any more.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.session import ensure_checkpoint_dir
+from wayfold.tables import cut, discard, scratch
+
+__all__ = ["attach", "bounded_sample", "cut", "discard", "fits", "remainder", "scratch", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back (cuts lineage)."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``cut`` wrote, once nothing lazy reads them any more."""
-    for df in tables:
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def attach(rows: DataFrame, key: str, values: DataFrame, column: str, share: int = 1000) -> DataFrame:
     """``rows`` with ``column`` of ``values`` (one row for each ``key``, with ``n``, the number of ``rows`` that have it).
 

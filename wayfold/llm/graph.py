@@ -1,42 +1,5 @@
-"""Connected components by alternating star contractions.
+"""Connected components: the library's own, for edge lists whose nodes have no layout."""
 
-Every round is two joins and two aggregates on the edge table, written to the shared checkpoint
-folder.  A vertex with very many neighbours costs a partial aggregate and a join whose hot
-partitions Spark can split; no neighbour list is ever gathered into one row.
-"""
+from wayfold.operators.components import star_components as components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import cut, discard
-
-MAX_ROUNDS = 60
-
-
-def _contract(edges: DataFrame, larger_only: bool) -> DataFrame:
-    """Each vertex ties its neighbours (all larger ones, or all smaller ones) to the least of them and itself."""
-    if larger_only:
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    else:
-        down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every vertex of ``edges`` (u, v): the least vertex it can reach."""
-    state = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
-    for _ in range(MAX_ROUNDS):
-        before, state = state, cut(_contract(_contract(state, True), False), "edges")
-        discard(before)
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        mark = now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+__all__ = ["components"]

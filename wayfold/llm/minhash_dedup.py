@@ -16,7 +16,8 @@ inside one component need no comparison, so no link that could change a componen
 there is no cap.
 
 Null texts and texts without words have an empty set and are linked with nothing; shorter texts than a shingle are one
-shingle; repeated rows (same id) fall together; extra columns are ignored.  An empty table gives an
+shingle; ids may have any type with an order; equal rows have equal results, and an id with several texts has a row for
+each, linked by its own text; rows without an id are linked only to rows with the same set; extra columns are ignored.  An empty table gives an
 empty result.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 from .graph import components
 from .words import LOWER, U64, mix, range_hash, row_windows, slices, spans, window_hash
 
@@ -40,7 +41,7 @@ ROWS = 4
 BITS = 2
 SIGMAS = 5.0
 SHARE = 2000
-LONG = 2048
+LONG = 1024
 #: Links hold from this share of common shingles on, in percent.
 PERCENT = 85
 PACKED = HASHES * BITS // 64
@@ -82,8 +83,7 @@ def signature(shingles: np.ndarray, factors: np.ndarray = _FACTORS, offsets: np.
 
 
 def long_signatures(sets: DataFrame) -> DataFrame:
-    """id and the lowest bit of each of LONG minima, packed into longs."""
-    kind = sets.schema["id"].dataType.simpleString()
+    """node and the lowest bit of each of LONG minima, packed into longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,9 +91,14 @@ def long_signatures(sets: DataFrame) -> DataFrame:
             for body in batch.column(1):
                 bits = (mix(signature(np.frombuffer(body.as_buffer(), np.uint64), _LONG_FACTORS, U64(1))) & U64(1)).astype(np.uint8)
                 rows.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "long"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "long"])
 
-    return sets.select("id", "shingles").mapInArrow(run, f"id {kind}, long array<bigint>")
+    return sets.select("node", "shingles").mapInArrow(run, "node bigint, long array<bigint>")
+
+
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    return int(mix(s).sum(dtype=np.uint64).view(np.int64)), int((mix(s ^ U64(0x5DEECE66D)) * U64(3)).sum(dtype=np.uint64).view(np.int64))
 
 
 def pack(minima: np.ndarray) -> np.ndarray:
@@ -124,8 +129,9 @@ def signatures(docs: DataFrame) -> DataFrame:
             for lo, hi, sets in _sets(batch.column(1)):
                 d0, d1, packed, bands = [], [], [], []
                 for s in sets:
-                    d0.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
-                    d1.append(int((mix(s ^ U64(0x5DEECE66D)) * U64(3)).sum(dtype=np.uint64).view(np.int64)))
+                    both = digest(s)
+                    d0.append(both[0])
+                    d1.append(both[1])
                     m = signature(s) if len(s) else None
                     packed.append(None if m is None else pack(m).view(np.int64))
                     bands.append(None if m is None else band_keys(m).view(np.int64))
@@ -135,15 +141,15 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and its sorted shingle hashes as bytes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """d0, d1, n_shingles and the sorted shingle hashes as bytes, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, sets in _sets(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+            for _, _, sets in _sets(batch.column(0)):
+                both = [digest(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in both], pa.int64()), pa.array([d[1] for d in both], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["d0", "d1", "n_shingles", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, shingles binary")
+    return docs.select("text").mapInArrow(run, "d0 bigint, d1 bigint, n_shingles bigint, shingles binary")
 
 
 def mismatches(a: str, b: str) -> Column:
@@ -179,9 +185,8 @@ def least_estimate(percent: int = PERCENT, hashes: int = HASHES, bits: int = BIT
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, as edges (u, v)."""
-    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    rows = rows.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
-    kind = pairs.schema["a"].dataType.simpleString()
+    rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    rows = rows.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,73 +204,82 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
-    return rows.mapInArrow(run, f"u {kind}, v {kind}")
+    return rows.mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
+    key = ["d0", "d1", "n_shingles"]
     signed = cut(signatures(docs), "signatures")
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d0", "d1", "n_shingles").agg(F.min("doc_id").alias("id"))
-    heads = signed.join(classes, ["d0", "d1", "n_shingles"]).where("doc_id = id").dropDuplicates(["id"]).select("id", "n_shingles", "packed", "bands")
-    heads = cut(heads, "heads")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(key).agg(F.min("doc_id").alias("id"))
+    # Classes are numbered once, so that nodes are short whatever the type of ids, and an id with two texts is two nodes.
+    heads = signed.join(classes, key).where("doc_id = id").dropDuplicates(key).select("id", *key, "packed", "bands")
+    heads = cut(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
 
-    buckets = heads.select("id", F.explode("bands").alias("key"))
+    buckets = heads.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    linked = cut(buckets.join(shared, "key"), "linked")  # key, id, n
-    middle = linked.groupBy("id").agg(F.sum("n").alias("w"))
-    hubs = linked.join(middle, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("hub"))
-    members = cut(linked.join(hubs, "key"), "members")  # key, id, n, hub
+    linked = cut(buckets.join(shared, "key"), "linked")  # key, node, n
+    middle = linked.groupBy("node").agg(F.sum("n").alias("w"))
+    hubs = linked.join(middle, "node").groupBy("key").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("hub"))
+    members = cut(linked.join(hubs, "key"), "members")  # key, node, n, hub
+    discard(linked)
 
     # Stars: every member with the hubs of its buckets, the pairs that may be similar enough.
     floor = least_estimate(percent)
     sizes = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    packed = heads.select("id", F.col("n_shingles").alias("n"), "packed")
-    star = star.join(packed.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb")), "b")
-    star = star.join(packed.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa")), "a")
+    star = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    packed = heads.select("node", F.col("n_shingles").alias("n"), "packed")
+    star = star.join(packed.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("packed").alias("pb")), "b")
+    star = star.join(packed.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("packed").alias("pa")), "a")
     star = star.where(sizes(F.col("na"), F.col("nb"))).where(estimate("pa", "pb") >= floor)
     # One hub for a member is enough to begin with; what it does not settle, the second part compares.
     star = cut(star.groupBy("b").agg(F.max_by("a", F.struct(F.round(estimate("pa", "pb"), 6), -F.col("a"))).alias("a")).select("a", "b"), "stars")
 
-    wanted = members.select("id").distinct()
-    near = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = cut(shingle_sets(near), "sets")
+    wanted = heads.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("doc_id"), *key)
+    near = shingle_sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"))
+    sets = cut(near.join(wanted.drop("doc_id"), key).dropDuplicates(["node"]).select("node", "shingles"), "sets")
     edges = cut(_confirm(star, sets, percent), "confirmed")
     found = cut(components(edges), "components")
 
     rest = residual_pairs(members, heads, sets, found, percent)
     more = cut(_confirm(rest, sets, percent), "confirmed")
     if not more.isEmpty():
-        found = cut(components(edges.unionByName(more)), "components")
-
-    named = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("d0", "d1", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "d0", "d1").join(named, ["d0", "d1", "n_shingles"], "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        before, found = found, cut(components(edges.unionByName(more)), "components")
+        discard(before)
+
+    named = heads.select("node", "id", *key).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    named = cut(named.join(least, "component").select(*key, "least"), "named")
+    discard(heads, members, star, sets, edges, more, found)
+    out = signed.select("doc_id", *key).join(named, key, "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def residual_pairs(members: DataFrame, heads: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (a < b) that share a bucket, lie in different components and may be similar enough."""
-    name = found.select(F.col("node").alias("id"), "component")
-    own = members.join(name, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    hubs = name.select(F.col("id").alias("hub"), F.col("component").alias("hub_component"))
+    name = found.select("node", "component")
+    own = members.join(name, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    hubs = name.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
     own = own.join(hubs, "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
     open_ = own.groupBy("key").agg(F.max(F.col("component") != F.col("hub_component")).alias("open")).where("open").select("key")
     own = cut(own.join(open_, "key", "left_semi"), "open-buckets")
-    ids = own.select("id").distinct()
-    detail = heads.join(ids, "id", "left_semi").select("id", F.col("n_shingles").alias("s"), "packed", "bands").join(long_signatures(sets.join(ids, "id", "left_semi")), "id")
-    own = cut(own.join(detail, "id").withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")), "open-members")
+    nodes = own.select("node").distinct()
+    detail = heads.join(nodes, "node", "left_semi").select("node", F.col("n_shingles").alias("s"), "packed", F.transform("bands", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("tags")).join(long_signatures(sets.join(nodes, "node", "left_semi")), "node")
+    own = cut(own.join(detail, "node").withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")), "open-members")
     floor, long_floor = least_estimate(percent), least_estimate(percent, LONG, 1)
     left = own.where("component <> hub_component").select(
-        "key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("packed").alias("px"), F.col("long").alias("lx"), F.col("bands").alias("bx"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("packed").alias("px"), F.col("long").alias("lx"), F.col("tags").alias("tx"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
     )
-    right = own.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), F.col("hub_component").alias("hy"), F.col("s").alias("sy"), F.col("packed").alias("py"), F.col("long").alias("ly"), F.col("bands").alias("by"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"))
-    # Two members outside the hub's component meet once, in order of their ids.
-    common = F.filter(F.zip_with("bx", "by", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())
+    right = own.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("hub_component").alias("hy"), F.col("s").alias("sy"), F.col("packed").alias("py"), F.col("long").alias("ly"), F.col("tags").alias("ty"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"))
+    # Two members outside the hub's component meet once in a bucket, in order of their nodes, and a pair is compared in its
+    # first common bucket only; 31 bits of a bucket's key tell it (a false earlier one has a chance of about 1e-8 a pair,
+    # as likely as a pair that no band finds).
+    common = F.filter(F.zip_with("tx", "ty", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())
     pairs = left.join(right, ["key", "share"]).where(
         (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("hy")) | (F.col("x") < F.col("y"))) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy"))
-        & (estimate("px", "py") >= floor) & (long_estimate("lx", "ly") >= long_floor) & (common[0] == F.col("key"))
+        & (estimate("px", "py") >= floor) & (long_estimate("lx", "ly") >= long_floor) & (common[0] == F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     )
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
