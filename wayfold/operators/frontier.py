@@ -45,6 +45,11 @@ LEAST_WIDTH = 4.0
 AHEAD = 62
 
 
+def _name(round_: int) -> str:
+    """A round's number as text of its order."""
+    return f"{round_:08d}"
+
+
 def _label() -> Column:
     """A label, ordered."""
     return F.struct("cost", "hops", "road_id", "pred")
@@ -138,7 +143,7 @@ def search(
         return table
 
     root = starts.select("start", "node").distinct().select(
-        "start", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("road_id"), F.lit(None).cast(node_type).alias("pred"), F.lit(0).alias("round")
+        "start", "node", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("road_id"), F.lit(None).cast(node_type).alias("pred"), F.lit(_name(0)).alias("round")
     )
     log = log_of(root)
     goal = None
@@ -174,7 +179,8 @@ def search(
                 break
         # One statement a round: the ring's labels, their candidates, and the log's minimum over both, which moves nothing of the log.
         # Of a label's rows only the best is worth expanding; a worse one whose better lies in an earlier ring is harmless.
-        rows = f"round = {rounds - 1}" if again else f"{ring} >= {now}"
+        # What changes from round to round are text and decimal literals, which generated code refers to: it is compiled once a search.
+        rows = f"round = '{_name(rounds - 1)}'" if again else f"cast({ring} AS decimal(18, 0)) >= {now}BD"
         within = "" if limit is None else f"AND cost <= {float(limit)!r}D"
         total = f"cost + {float(penalty)!r}D + secs" if penalty_first else f"cost + secs + {float(penalty)!r}D"
         drop = [] if cut is None else [f"total < {float(cut)!r}D"]
@@ -186,23 +192,24 @@ def search(
               SELECT start, node, min(struct(cost, hops, road_id, pred, round)) AS m FROM (
                 SELECT start, node, cost, hops, road_id, pred, round FROM {log.name}
                 UNION ALL  -- of plain columns: over equal types the union keeps the partitioning of both sides
-                SELECT start, node, m.cost, m.hops, m.road_id, m.pred, {rounds} AS round FROM (
+                SELECT start, node, m.cost, m.hops, m.road_id, m.pred, '{_name(rounds)}' AS round FROM (
                   SELECT start, node, min(struct(total AS cost, hops + 1 AS hops, e_road AS road_id, src AS pred)) AS m FROM (
-                    SELECT {e.hint("e")} *, dst AS node, {total} AS total FROM (SELECT start, node AS src, cost, hops FROM {log.name} WHERE {ring} < {end} AND {rows} {within})
+                    SELECT {e.hint("e")} *, dst AS node, {total} AS total FROM (SELECT start, node AS src, cost, hops FROM {log.name} WHERE cast({ring} AS decimal(18, 0)) < {end}BD AND {rows} {within})
                     JOIN {e.name} e USING ({", ".join(keys)}) {"JOIN {looked} USING (start)" if goal is not None else ""}
                   ) {"WHERE " + " AND ".join(drop) if drop else ""} GROUP BY start, node
                 )
               ) GROUP BY start, node
-            ) WHERE m.round = {rounds}
+            ) WHERE m.round = '{_name(rounds)}'
             """,
             **({"looked": open_} if goal is not None else {}),
         )
         seen = Observation()
-        new = new.observe(seen, F.count(F.lit(1)).alias("rows"), F.expr(f"bit_or(shiftleft(1L, cast(least(ring - {now}, {AHEAD}) AS int)))").alias("rings")).drop("ring")
+        bits = F.expr(f"bit_or(shiftleft(1L, cast(pmod(ring, {AHEAD}) AS int)))")
+        new = new.observe(seen, F.count(F.lit(1)).alias("rows"), bits.alias("rings"), F.max("ring").alias("most")).drop("ring")
         log.append(dealt(new, "start", "node"))
         got = seen.get
-        met = [now + k for k in range(AHEAD) if (got["rings"] or 0) >> k & 1]
-        if (got["rings"] or 0) >> AHEAD & 1:
+        met = [r for r in range(now, now + AHEAD) if (got["rings"] or 0) >> (r % AHEAD) & 1]
+        if (got["most"] or 0) >= now + AHEAD:  # the bits of rings so far ahead are those of nearer ones too
             unknown = min(unknown, now + AHEAD)
         waiting |= {r for r in met if r >= end}
         again = any(r < end for r in met)
