@@ -5,10 +5,14 @@ p(token | context) = p(class | context) * p(token | class).  The class part is a
 into ``BUCKETS`` weight rows.  The token part is the softmax over a class's tokens with one bias each, whose optimum is
 the smoothed relative frequency, unseen tokens sharing one slot for each class.
 
-Counts are taken over all training texts.  Weights are trained in one pass over all training texts: every task makes
-Adagrad updates on its own partitions, and the tasks' weights are averaged, row by row, by how often
-each task touched the row, merging ``FAN_IN`` tables at a time.  The weight table's size is fixed, so it is sent to the
-executors.  Of the counts, the ``HEAD`` most frequent tokens are sent; all others are joined by token
+Counts are taken over all training texts.  Weights are trained in ``PARTS`` synchronous rounds, each on the share of
+the texts that the hash of the text deals to it, so that every text is used once.  In a round all tasks hold the same weights, and each
+sums, for every weight row and class, how often the class came and how often the model expected it.  The sums of all tasks are added
+on the executors, dealt by weight row, and give one preconditioned gradient step (the logarithm of the
+two sums' ratio, damped).  Expectations are summed as whole multiples of 2**-20, so sums don't depend on their order: the
+model is the same for any partitioning of the texts, bit by bit.  The weight table's size is fixed, so it is sent to the
+executors; only steps, one table's size, come to the driver.  At most ``TASKS`` tasks work on a round, which bounds what is shuffled.
+Of the counts, the ``HEAD`` most frequent tokens are sent; all others are joined by token
 hash.  Those carry no hot key, because the frequent tokens are exactly the ones taken out.
 
 Texts are read as UTF-8 bytes, A-Z in lower case, tokens white-space separated, each text closed by an end
@@ -31,10 +35,17 @@ from .words import LOWER, U64, mix, range_hash, slices, spans
 CLASSES = 32
 OWN_CLASS = 12  # most frequent tokens with a class of their own; class 0 is the end token
 BUCKETS = 1 << 15
-HEAD = 1 << 18
+HEAD = 1 << 17
 STEP = 4096
-RATE = 0.25
-FAN_IN = 16
+#: Tokens whose expectations are summed at once.
+TALLIED = 1 << 15
+#: Shares of the texts (of 64) by round, tasks of a round, groups of weight rows that are added up, damping and smoothing of a step.
+PARTS = (24, 40)
+TASKS = 256
+SHARDS = 16
+DAMPING = 0.4
+SMOOTH = 20.0
+FIXED = 2.0**20
 #: Tokens gathered before a task counts and emits them.
 COUNTED_AT_ONCE = 3_000_000
 END = np.array([0x2545F4914F6CDD1D], np.uint64)
@@ -102,19 +113,27 @@ def log_softmax(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndar
     return z
 
 
-def update(weights: np.ndarray, bias: np.ndarray, size: np.ndarray, touched: np.ndarray, f: np.ndarray, y: np.ndarray) -> None:
-    """One Adagrad step on a few thousand tokens, in place."""
-    g = np.exp(log_softmax(weights, bias, f))
-    g[np.arange(len(y)), y] -= 1
-    for k in range(len(f)):
-        order = np.argsort(f[k])
-        rows = f[k][order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        total = np.add.reduceat(g[order], first)
-        rows = rows[first]
-        size[rows] += (total * total).mean(1)
-        weights[rows] -= (RATE / np.sqrt(size[rows] + 1))[:, None] * total
-        touched[rows] += np.diff(np.append(first, len(order)))
+def tally(weights: np.ndarray, bias: np.ndarray, f: np.ndarray, y: np.ndarray, came: np.ndarray, expected: np.ndarray) -> None:
+    """Add tokens' classes to ``came`` (rows, classes) and the model's expectations, in whole multiples of 1/FIXED, to
+    ``expected`` (classes, rows)."""
+    p = np.empty((CLASSES, len(y)))
+    for k in range(0, len(y), STEP):
+        z = log_softmax(weights, bias, f[:, k : k + STEP])
+        np.exp(z, out=z)
+        z *= np.float32(FIXED)
+        p[:, k : k + STEP] = np.rint(z, out=z).T
+    pair, n = np.unique((f * CLASSES + y).ravel(), return_counts=True)
+    came.reshape(-1)[pair] += n.astype(np.int32)
+    # Class by class, a row of sums fits the processor's cache; whole numbers below 2**53 add up exactly.
+    for c in range(CLASSES):
+        for rows in f:
+            expected[c] += np.bincount(rows, weights=p[c], minlength=BUCKETS)
+
+
+def step(came: np.ndarray, expected: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The change of weights from both sums: the damped logarithm of their ratio, smoothed by the classes' shares."""
+    base = SMOOTH * prior
+    return (DAMPING * (np.log(came + base) - np.log(expected / FIXED + base))).astype(np.float32)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,47 +165,45 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.max("ending").alias("ending"), F.sum("c").alias("c"))
 
 
-def _merge(bodies: DataFrame) -> DataFrame:
-    """Sum the tables of up to FAN_IN tasks."""
-
-    def run(pdf):
-        total = None
-        for body in pdf["body"]:
-            x = np.frombuffer(body, np.float32)
-            total = x.astype(np.float64) if total is None else total + x
-        return pdf[["id"]].iloc[:1].assign(id=int(pdf["id"].iloc[0]) // FAN_IN, body=[total.astype(np.float32).tobytes()])
-
-    return bodies.withColumn("g", F.floor(F.col("id") / FAN_IN)).groupBy("g").applyInPandas(lambda pdf: run(pdf), "id bigint, body binary")
-
-
 def train(docs: DataFrame, classes: Classes, bias: np.ndarray) -> np.ndarray:
-    """The weight table after one pass of every task over its texts, averaged over tasks."""
-    width = CLASSES + 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros((BUCKETS, CLASSES), np.float32)
-        size, touched = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
-        task = None
-        for batch in batches:
-            task = batch.column(0)[0].as_py() if task is None and batch.num_rows else task
-            for _, _, h, row, ending, _ in tokens(batch.column(1)):
-                f, y = features(h, row), classes(h, ending)
-                for k in range(0, len(y), STEP):
-                    update(weights, bias, size, touched, f[:, k : k + STEP], y[k : k + STEP])
-        if task is not None:
-            body = np.concatenate([weights * touched[:, None], touched[:, None]], 1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([body.tobytes()], pa.binary())], ["id", "body"])
-
-    rows = docs.select(F.spark_partition_id().cast("bigint").alias("id"), "text").mapInArrow(run, "id bigint, body binary")
-    rows = cut(rows, "lm-weights")
-    n = rows.agg(F.max("id")).first()[0]
-    n = 0 if n is None else n + 1
-    while n > FAN_IN:
-        rows, n = cut(_merge(rows), "lm-weights"), -(-n // FAN_IN)
-    total = np.zeros((BUCKETS, width), np.float64)
-    for r in rows.collect():  # at most FAN_IN tables of a fixed size
-        total += np.frombuffer(bytes(r["body"]), np.float32).reshape(BUCKETS, width)
-    return (total[:, :CLASSES] / np.maximum(total[:, CLASSES:], 1)).astype(np.float32)
+    """The weight table after one synchronous round for each of PARTS."""
+    weights = np.zeros((BUCKETS, CLASSES), np.float32)
+    prior = np.exp(bias.astype(np.float64))
+    prior /= prior.sum()
+    rows = BUCKETS // SHARDS
+    context = docs.sparkSession.sparkContext
+    place, lo = F.pmod(F.xxhash64("text"), F.lit(64)), 0
+    for share in PARTS:
+        sent = context.broadcast(weights)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            came, expected = np.zeros((BUCKETS, CLASSES), np.int32), np.zeros((CLASSES, BUCKETS))
+            now, some = sent.value, False
+            for batch in batches:
+                for _, _, h, row, ending, _ in tokens(batch.column(0)):
+                    f, y, some = features(h, row), classes(h, ending), True
+                    for k in range(0, len(y), TALLIED):
+                        tally(now, bias, f[:, k : k + TALLIED], y[k : k + TALLIED], came, expected)
+            if some:
+                parts = [slice(k * rows, (k + 1) * rows) for k in range(SHARDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([came[x].tobytes() for x in parts], pa.binary()), pa.array([expected[:, x].tobytes() for x in parts], pa.binary())], ["shard", "came", "expected"])
+
+        def add(pdf):
+            came, expected = np.zeros(rows * CLASSES, np.int64), np.zeros(rows * CLASSES)
+            for x, z in zip(pdf["came"], pdf["expected"], strict=True):
+                came += np.frombuffer(x, np.int32)
+                expected += np.frombuffer(z, np.float64)
+            change = step(came.reshape(rows, CLASSES), expected.reshape(CLASSES, rows).T, prior)
+            return pdf[["shard"]].iloc[:1].assign(change=[change.tobytes()])
+
+        part = docs.where((place >= lo) & (place < lo + share)).select("text").coalesce(TASKS)
+        sums = part.mapInArrow(run, "shard int, came binary, expected binary")
+        weights = weights.copy()
+        for r in sums.groupBy("shard").applyInPandas(add, "shard int, change binary").toLocalIterator():  # one table's size
+            weights[r["shard"] * rows : (r["shard"] + 1) * rows] += np.frombuffer(bytes(r["change"]), np.float32).reshape(rows, CLASSES)
+        lo += share
+        sent.unpersist()
+    return weights
 
 
 def fit(docs: DataFrame) -> dict:
@@ -234,28 +251,30 @@ def _head_counts(model: dict, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """Per document (doc_id, text): doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    small = {k: model[k] for k in ("keys", "c", "classes", "bias", "weights", "room")}
+    head = {k: model[k] for k in ("keys", "c")}
+    small = docs.sparkSession.sparkContext.broadcast(head | {k: model[k] for k in ("classes", "bias", "weights", "room")})
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What a row's own task can tell: the class part, and the counts of frequent tokens."""
+        model = small.value
         for batch in batches:
             for lo, hi, h, row, ending, _ in tokens(batch.column(2)):
-                f, y = features(h, row), small["classes"](h, ending)
+                f, y = features(h, row), model["classes"](h, ending)
                 p = np.empty(len(h))
                 for k in range(0, len(h), STEP):
-                    z = log_softmax(small["weights"], small["bias"], f[:, k : k + STEP])
+                    z = log_softmax(model["weights"], model["bias"], f[:, k : k + STEP])
                     p[k : k + STEP] = z[np.arange(len(z)), y[k : k + STEP]]
-                hit, c = _head_counts(small, h)
+                hit, c = _head_counts(model, h)
                 edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 total = lambda x: np.add.reduceat(x, edge)  # noqa: B023, E731
                 logs = np.where(hit, np.log10(c + 0.5), np.log10(0.5))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.bincount(row).astype(np.int64)), pa.array(total(hit.astype(np.int64))), pa.array(total(logs)), pa.array(total(p / np.log(10) - small["room"][y]))], ["doc_id", "th", "n_tokens", "known", "logs", "own"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.bincount(row).astype(np.int64)), pa.array(total(hit.astype(np.int64))), pa.array(total(logs)), pa.array(total(p / np.log(10) - model["room"][y]))], ["doc_id", "th", "n_tokens", "known", "logs", "own"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The tokens outside the head, once for each row with their number there."""
         for batch in batches:
             for lo, hi, h, row, _, _ in tokens(batch.column(2)):
-                at = np.flatnonzero(~_head_counts(small, h)[0])
+                at = np.flatnonzero(~_head_counts(small.value, h)[0])
                 order = at[np.lexsort((h[at], row[at]))]
                 a, b = row[order], h[order]
                 first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(order) else order
