@@ -12,7 +12,8 @@ Segments are runs of spaces with the word after them, and single line or tab cha
 checks that no piece crosses such a border, and otherwise takes whole texts as segments.  Model files are
 never trained or copied; the path is a parameter, the model's bytes go to the executors with the plan.
 
-Null gives null; the empty text gives no ids; texts of any length are encoded whole.  Decoding an
+Null gives null; the empty text gives no ids; texts of any length are encoded whole, about ``INDEXED_CHARS`` characters of
+distinct segments being indexed at a time (a longer segment, a run without any space, tab or line end, alone).  Decoding an
 encoded text gives it back, with U+2581 as a space (the model's own mark for it).  Repeated rows have equal
 results; extra columns are ignored; an empty table gives an empty result.
 """
@@ -29,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Characters of text indexed at once, and segments a worker remembers between batches.
-BATCH_CHARS = 2_000_000
-REMEMBERED = 300_000
+#: Characters of text taken at once, characters indexed at once (a table row of some 17 numbers each), and segments
+#: and ids that a worker remembers between batches.
+BATCH_CHARS = 500_000
+INDEXED_CHARS = 120_000
+REMEMBERED = 100_000
+REMEMBERED_IDS = 500_000
 _segment = re.compile(rf"{MARK}*[^{MARK}\n\t]+|{MARK}+|[\n\t]")
 NONE = np.int32(-1)
 
@@ -256,13 +260,20 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > REMEMBERED or len(self.pool) > REMEMBERED_IDS:
             self.forget()
         cut = [self.vocab.segments(t) if t else [] for t in texts]
         index = self.index
         fresh = set(chain.from_iterable(cut)).difference(index)
-        if fresh:
-            self.learn(list(fresh))
+        part, size = [], 0
+        for segment in fresh:  # a longer segment is indexed alone: segments stay whole
+            if part and size + len(segment) > INDEXED_CHARS:
+                self.learn(part)
+                part, size = [], 0
+            part.append(segment)
+            size += len(segment) + 1
+        if part:
+            self.learn(part)
         segments = np.fromiter(map(len, cut), np.int64, len(cut))
         spots = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), np.int64, int(segments.sum()))
         count = self.count[spots]

@@ -28,6 +28,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _powers: dict[int, np.ndarray] = {}
+#: Entries of a power table that a worker keeps; longer ones, for a single longer text, are made and let go.
+KEPT_POWERS = 1 << 20
 
 
 def _power_table(base: np.uint64, n: int) -> np.ndarray:
@@ -35,9 +37,11 @@ def _power_table(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
         size = 1 << max(16, int(n).bit_length())
-        steps = np.full(size, base, np.uint64)
+        steps = np.full(size if size <= KEPT_POWERS else n, base, np.uint64)
         steps[0] = 1
-        have = _powers[int(base)] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if size <= KEPT_POWERS:
+            _powers[int(base)] = have
     return have[:n]
 
 
@@ -50,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-def slices(arr: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(arr: pa.Array, max_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, byte offsets, bytes) of runs of rows of about ``max_bytes``.
 
     A null counts as the empty text.  A single longer text makes a longer slice: texts stay whole.
