@@ -77,6 +77,27 @@ def test_contamination_against_brute_force(spark):
     assert decontaminate.contamination(docs, marks.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_filters_leave_columns_of_any_name_alone(spark):
+    marks = spark.createDataFrame([(0, "short item")], "item_id bigint, text string")
+    texts = ["a SHORT item here short item", "clean words of its own", "clean words of its own", None, ""]
+    docs = spark.createDataFrame([(k, t, f"w{k}", f"h{k}", f"c{k}", f"i{k}") for k, t in enumerate(texts)], "doc_id bigint, text string, __W string, __hits string, __clean string, __id string")
+    before = rows(docs)
+    for got, ids in ((decontaminate.decontaminated(docs, marks), {1, 2, 3, 4}), (minhash_dedup.deduplicated(docs), {0, 1, 3, 4})):
+        assert got.columns == docs.columns
+        assert rows(got) == {k: before[k] for k in ids}
+    cleaned = rows(decontaminate.without_spans(docs, marks))
+    assert cleaned[0].text == "a here" and {k: r[2:] for k, r in cleaned.items()} == {k: r[2:] for k, r in before.items()}
+    assert all(cleaned[k] == before[k] for k in (1, 2, 3, 4))
+
+
+def test_spans_of_a_long_text(spark):
+    marks = spark.createDataFrame([(0, "short item")], "item_id bigint, text string")
+    words = [w for k in range(60_000) for w in ("short", "item", f"w{k}")]
+    docs = frame(spark, [" ".join(words), "short item " * 30_000])
+    got = rows(decontaminate.without_spans(docs, marks))
+    assert got[0].text == " ".join(f"w{k}" for k in range(60_000)) and got[1].text == ""
+
+
 def test_contamination_in_blocks(spark, monkeypatch):
     docs, marks = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {tuple(r)[:6] for r in decontaminate.contamination(docs, marks).collect()}

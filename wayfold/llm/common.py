@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 
 from wayfold.tables import cut, discard, scratch
 
-__all__ = ["attach", "bounded_sample", "cut", "discard", "fits", "remainder", "scratch", "table"]
+__all__ = ["attach", "bounded_sample", "cut", "discard", "fits", "remainder", "scratch", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or what it becomes with underscores behind it, so that no column of ``df`` has it (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def attach(rows: DataFrame, key: str, values: DataFrame, column: str, share: int = 1000) -> DataFrame:
     """``rows`` with ``column`` of ``values`` (one row for each ``key``, with ``n``, the number of ``rows`` that have it).
 

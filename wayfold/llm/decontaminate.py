@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 from .url_filter import lower_ascii
 
 #: A word, after lower-casing: anything but ASCII characters that are no digit or lower-case letter.
@@ -64,18 +64,20 @@ def _verified(w: str, grams: list[tuple[int, str, int]]) -> Column:
     return F.expr(f"concat(CAST(array() AS {CANDIDATES}), {', '.join(parts)})" if parts else f"CAST(array() AS {CANDIDATES})")
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``__w`` (its words) and ``__hits``: verified windows as (at from 1, size, gram)."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names, which no column of ``docs`` has: its words, and verified windows as
+    (at from 1, size, gram)."""
     grams = benchmark_windows(benchmark, width).select("size", "gram", "h").distinct()
     blocks = max(1, -(-grams.count() // MAX_SET))
-    out = docs.withColumn("__w", words_of(F.col("text")))
+    words, hits = unused(docs, "__w"), unused(docs, "__hits")
+    out = docs.withColumn(words, words_of(F.col("text")))
     if blocks == 1:
-        return out.withColumn("__hits", _verified("__w", [tuple(r) for r in grams.collect()]))
-    out = out.withColumn("__hits", F.array().cast(CANDIDATES))
+        return out.withColumn(hits, _verified(words, [tuple(r) for r in grams.collect()])), words, hits
+    out = out.withColumn(hits, F.array().cast(CANDIDATES))
     for k in range(blocks):
         own = [tuple(r) for r in grams.where(F.expr(f"pmod(h, {blocks}) = {k}")).collect()]
-        out = cut(out.withColumn("__hits", F.concat("__hits", _verified("__w", own))), f"decontaminate-{k}")
-    return out
+        out = cut(out.withColumn(hits, F.concat(hits, _verified(words, own))), f"decontaminate-{k}")
+    return out, words, hits
 
 
 def _covered(hits: Column) -> Column:
@@ -91,10 +93,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and ``spans``: the
     verified windows as 0-based word ranges [from, to), in order of position."""
     own = docs.select("doc_id", "text").withColumn("__th", F.xxhash64("text"))
-    spans = F.array_sort(F.transform("__hits", lambda x: F.struct((x["at"] - 1).alias("from"), (x["at"] - 1 + x["size"]).alias("to"))))
-    rows = with_hits(own, benchmark, width).select(
-        "doc_id", "__th", F.size("__w").cast("long").alias("n_words"), _covered(F.col("__hits")).alias("n_hit"), spans.alias("spans"),
-        F.array_distinct(F.transform("__hits", lambda x: x["gram"])).alias("g"),
+    rows, words, hits = with_hits(own, benchmark, width)
+    spans = F.array_sort(F.transform(hits, lambda x: F.struct((x["at"] - 1).alias("from"), (x["at"] - 1 + x["size"]).alias("to"))))
+    rows = rows.select(
+        "doc_id", "__th", F.size(words).cast("long").alias("n_words"), _covered(F.col(hits)).alias("n_hit"), spans.alias("spans"),
+        F.array_distinct(F.transform(hits, lambda x: x["gram"])).alias("g"),
     )
     rows = rows.select("doc_id", "__th", "n_words", "n_hit", "spans", F.explode_outer("g").alias("gram"))
     items = benchmark_windows(benchmark, width).select("gram", F.col("item_id").cast("string").alias("item"))
@@ -109,20 +112,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` without its contaminated rows, all columns kept; nothing is shuffled."""
-    rows = with_hits(docs, benchmark, width)
-    clean = ~is_contaminated(_covered(F.col("__hits")), F.size("__w").cast("long"))
+    rows, words, hits = with_hits(docs, benchmark, width)
+    clean = ~is_contaminated(_covered(F.col(hits)), F.size(words).cast("long"))
     # As a generator and not a filter: a filter would be pushed below the columns it reads, and the
     # words cut anew for every window.
-    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.when(clean, F.array(F.lit(1)))).alias("__clean"))
-    return rows.drop("__clean")
+    mark = unused(docs, "__clean")
+    rows = rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.when(clean, F.array(F.lit(1)))).alias(mark))
+    return rows.drop(mark)
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with ``text`` reduced to its words outside hit windows, lower-cased and joined by a
-    space, where it has a hit; other texts stay as they are."""
-    rows = with_hits(docs, benchmark, width)
-    hit = F.flatten(F.transform("__hits", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))
-    places = F.filter(F.sequence(F.lit(1), F.size("__w")), lambda i: ~F.array_contains(F.col("__in"), i))
-    left = F.array_join(F.transform(places, lambda i: F.element_at(F.col("__w"), i)), " ")
-    rows = rows.withColumn("__in", F.array_distinct(hit)).withColumn("text", F.when(F.size("__hits") > 0, left).otherwise(F.col("text")))
+    space, where it has a hit; other texts stay as they are.  The time is linear in a text's words and hits."""
+    rows, words, hits = with_hits(docs, benchmark, width)
+    hit = F.flatten(F.transform(hits, lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))
+    places = F.array_except(F.sequence(F.lit(1), F.size(words)), hit)
+    left = F.array_join(F.transform(places, lambda i: F.element_at(F.col(words), i)), " ")
+    rows = rows.withColumn("text", F.when(F.size(hits) > 0, left).otherwise(F.col("text")))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

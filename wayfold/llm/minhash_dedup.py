@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard
+from .common import cut, discard, unused
 from .graph import components
 from .words import LOWER, U64, mix, range_hash, row_windows, slices, spans, window_hash
 
@@ -286,5 +286,6 @@ def residual_pairs(members: DataFrame, heads: DataFrame, sets: DataFrame, found:
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows that are not kept: one document of each component stays, whole."""
-    verdict = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(verdict, F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = unused(docs, "__id")
+    verdict = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(verdict, F.col("doc_id") == F.col(gone), "left_anti")
