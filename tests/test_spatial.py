@@ -183,3 +183,17 @@ def test_latitudes_beyond_a_pole_take_as_few_cells_as_others(spark):
     near = {(r.start_road, r.road_id) for r in roads_within_distance(roads, roads).collect()}
     want = {(f"{b}/{i}", f"{b}/{j}") for b in (-34.0, 34.0, 146.0, 184.0, 214.0, 326.0) for i in range(40) for j in range(40) if 1 <= abs(i - j) <= (2 if b == 184.0 else 3)}
     assert near == want
+
+
+def test_geohash_beyond_the_ranges_equals_the_bisection(spark):
+    from wayfold.functions.geohash import _cell_index, _fold
+
+    inf = float("inf")
+    edge = (-180.0, 180.0, -90.0, 90.0, 0.0, -0.0007, 89.9993, 179.9993)
+    rows = [(x + dx, y + dy) for x in (108.9, *edge, 400.0, -400.0, inf, -inf) for y in (34.2, *edge, 184.2, -934.5, inf, -inf) for dx in (0.0, 1e-7, -1e-7) for dy in (0.0, 3e-6, -1e-9)]
+    rows += [(float("nan"), 1.0), (1.0, float("nan")), (None, 1.0), (1.0, None)]
+    df = spark.createDataFrame(rows, "lon double, lat double")
+    got = df.select("lon", "lat", geohash7("lon", "lat").alias("fast"), _fold("lon", "lat").alias("want"))
+    assert [r for r in got.collect() if r.fast != r.want] == []
+    far = spark.createDataFrame([(184.2,), (-934.5,)], "lat double")
+    assert far.where(_cell_index(F.col("lat"), -90.0, 90.0, 17)[1]).count() == 0  # no slow path for them

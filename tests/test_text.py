@@ -68,3 +68,18 @@ def test_written_layouts_round_trip(spark, tmpdir_path):
     assert back.join(net.roads.select("road_id", "km", "secs"), ["road_id", "km", "secs"]).count() == net.roads.count()
     text.write_lines(text.format_point_topology(net.edges, net.roads, net.junctions), f"{tmpdir_path}/pt")
     assert text.parse_point_topology(text.read_lines(spark, f"{tmpdir_path}/pt")).count() == net.edges.count()
+
+
+def test_grid_line_is_not_carried_beside_each_of_its_roads(spark):
+    from wayfold.sources import text
+
+    lines = spark.createDataFrame([('{"GeoHash":"g","nodes":[{"RoadId":"1","LonLats":["1,2"]},{"RoadId":"2","LonLats":[]}]}',), ("no json",), ('{"GeoHash":"h"}',)], "value string")
+    grid = text.parse_grid_index(lines)
+    assert sorted(tuple(r) for r in grid.collect()) == [("g", "1", ["1,2"]), ("g", "2", [])]
+    plan = grid._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(x for x in plan.splitlines() if "Generate" in x)
+    node = grid._jdf.queryExecution().optimizedPlan()
+    while not node.nodeName() == "Generate":
+        node = node.children().head()
+    kept = [node.requiredChildOutput().apply(i).name() for i in range(node.requiredChildOutput().size())]
+    assert kept == ["cell"], generate

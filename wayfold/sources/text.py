@@ -266,11 +266,15 @@ def format_road_topology(roads: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ grid index
 
 def parse_grid_index(lines: DataFrame) -> DataFrame:
-    """(cell, road_id, lonlats ARRAY<STRING>) from JSON lines."""
+    """(cell, road_id, lonlats ARRAY<STRING>) from JSON lines.
+
+    The cell's name is taken out before its roads are exploded: beside ``j.nodes`` exploded, every road's row would
+    carry the whole line, so a cell of many roads would cost the square of them.  The outer form, whose rows for empty
+    cells go again, keeps the optimizer from parsing each line a second time to find these beforehand."""
     j = F.from_json(F.col("value"), GRID_SCHEMA)
-    return lines.select(j.alias("j")).select(
-        F.col("j.GeoHash").alias("cell"), F.explode("j.nodes").alias("n")
-    ).select("cell", F.col("n.RoadId").alias("road_id"), F.col("n.LonLats").alias("lonlats"))
+    cells = lines.select(j.alias("j")).select(F.col("j.GeoHash").alias("cell"), F.col("j.nodes").alias("nodes"))
+    roads = cells.select("cell", F.posexplode_outer("nodes").alias("at", "n")).where("at is not null")
+    return roads.select("cell", F.col("n.RoadId").alias("road_id"), F.col("n.LonLats").alias("lonlats"))
 
 
 def read_grid_index(spark: SparkSession, path: str) -> DataFrame:
