@@ -197,3 +197,31 @@ def test_geohash_beyond_the_ranges_equals_the_bisection(spark):
     assert [r for r in got.collect() if r.fast != r.want] == []
     far = spark.createDataFrame([(184.2,), (-934.5,)], "lat double")
     assert far.where(_cell_index(F.col("lat"), -90.0, 90.0, 17)[1]).count() == 0  # no slow path for them
+
+
+def test_candidate_roads_keep_the_last_corner_and_shuffle_no_result(spark):
+    from wayfold.operators.spatial_jobs import CANDIDATE_HALF_WINDOW as h
+    from wayfold.operators.spatial_jobs import candidate_roads
+
+    points = [(1, 108.9, 34.2), (1, 108.95, 34.2), (2, 108.9005, 34.2007), (2, 108.9005, 34.2007), (3, 108.9, 34.2), (None, 108.9, 34.2), (None, 108.9013, 34.2), (4, None, 34.2)]
+    gps = spark.createDataFrame(points, "event_id bigint, lon double, lat double")
+    corners = [(e, pos, x + dx, y + dy) for e, x, y in points if x is not None for pos, (dx, dy) in enumerate([(-h, h), (h, h), (-h, -h), (h, -h)], 1)]
+    at = spark.createDataFrame(corners, "e bigint, pos int, x double, y double").select("e", "pos", geohash7("x", "y").alias("cell")).collect()
+    cells = sorted({r.cell for r in at})
+    grid = [(c, road, [f"{road}@{c}"]) for k, c in enumerate(cells) for road in ("all", f"r{k}", *(["even"] if k % 2 == 0 else []), *([None] if k % 3 == 0 else []))]
+    rows = spark.createDataFrame(grid, "cell string, road_id string, lonlats array<string>")
+    want = {}
+    for r in sorted(at, key=lambda r: r.pos):
+        for c, road, points_ in grid:
+            if c == r.cell:
+                best, had = want.get((r.e, road), (0, set()))
+                want[r.e, road] = (r.pos, ({points_[0]} | had) if best == r.pos else {points_[0]})
+    out = candidate_roads(gps, rows)
+    got = [tuple(r) for r in out.collect()]
+    met = {(e, road): {p[0] for e2, r2, p in got if (e2, r2) == (e, road)} for e, road, _ in got}
+    assert met.keys() == want.keys() and all(met[k] <= want[k][1] for k in want)
+    assert len(got) == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan()
+    known, unknown = plan.children().head(), plan.children().last()
+    assert "max_by" in unknown.toString() and "isnull(event_id" in unknown.toString()
+    assert "max_by" not in known.toString()
