@@ -23,9 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators import frontier
+from wayfold.operators import regions
 from wayfold.operators.records import start_points, start_roads
 from wayfold.operators.routes import rebuild_routes
+from wayfold.tables import cut
 
 # Fixed values of the reference's TCSP job: junction penalty (s), the budget
 # used by its main (compared with seconds) and its "infinite" cost.
@@ -37,15 +38,17 @@ INF_COST = 1000.0
 
 def reachable_roads(records, roads, adj, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
     """(start_road, road_id, cost, within) per distinct start road; start included (cost 0)."""
-    starts = start_roads(records, roads).select(F.col("road_id").alias("start"), F.col("road_id").alias("node"))
+    place = roads.groupBy("road_id").agg(F.min(F.struct(F.col("xa").alias("x"), F.col("ya").alias("y"))).alias("at"))
+    starts = start_roads(records, roads).select("road_id").distinct().join(place, "road_id")
+    starts = starts.select(F.col("road_id").alias("start"), F.col("road_id").alias("node"), "at.x", "at.y")
     edges = adj.select(F.col("road_id").alias("src"), F.col("nbr").alias("dst"), F.col("nbr").alias("road_id"), "secs")
-    lab = frontier.search(
+    lab = regions.search(
         starts,
         edges,
         penalty=JUNCTION_PENALTY_S,
         penalty_first=True,
         limit=budget_secs,
-        cut=cut_secs,
+        cut_secs=cut_secs,
     )
     return lab.select(
         F.col("start").alias("start_road"),
@@ -76,16 +79,10 @@ def region_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
 def region_labels(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:
     """Region search labels keyed by start road: (start, node, cost, pred, road_id, hops)."""
     reached = reachable_roads(records, roads, adj, budget_secs, cut_secs)
-    pts = region_points(reached, roads)
+    pts = cut(region_points(reached, roads), "region-points")
     redges = region_edges(pts, edges).withColumnRenamed("start_road", "start")
     starts = start_roads(records, roads).select(F.col("road_id").alias("start"), F.col("a").alias("node"))
-    return frontier.search(
-        starts,
-        redges,
-        penalty=0.0,
-        cut=cut_secs,
-        edges_keyed_by_start=True,
-    )
+    return regions.keyed_search(starts, pts.withColumnRenamed("start_road", "start"), redges, cut_secs=cut_secs)
 
 
 def region_shortest_paths(records, roads, adj, edges, budget_secs: float = DEFAULT_BUDGET_S, cut_secs: float | None = INF_COST) -> DataFrame:

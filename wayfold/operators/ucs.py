@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.operators import frontier
+from wayfold.operators import regions
 from wayfold.operators.records import record_counts, start_points
 from wayfold.operators.routes import rebuild_routes
 
@@ -29,11 +29,11 @@ def budget_labels(records: DataFrame, roads: DataFrame, edges: DataFrame, minute
     limit = minutes * 60.0
     starts = (
         start_points(records, roads)
-        .select(F.col("start_node").alias("start"))
-        .distinct()
-        .select("start", F.col("start").alias("node"))
+        .groupBy(F.col("start_node").alias("start"))
+        .agg(F.min("lon").alias("x"), F.min("lat").alias("y"))
+        .select("start", F.col("start").alias("node"), "x", "y")
     )
-    return frontier.search(
+    return regions.search(
         starts,
         edges,
         penalty=JUNCTION_PENALTY_S,
