@@ -220,6 +220,26 @@ def test_near_duplicates_with_large_groups(spark, monkeypatch):
     assert minhash_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_misses_of_a_large_group_are_not_all_compared(spark, monkeypatch):
+    base = [f"w{k}" for k in range(1000)]
+    texts = [" ".join([*base[: 45 * n], *(f"x{n}_{k}" for k in range(45)), *base[45 * n + 45 :]]) for n in range(20)]  # 82 % alike, each with each
+    texts += [" ".join([*base[:-n], *(f"y{k}" for k in range(n))]) for n in (1, 60)]
+    compared, confirm = [], minhash_dedup._confirm
+    monkeypatch.setattr(minhash_dedup, "_confirm", lambda pairs, *more: compared.append(pairs.count()) or confirm(pairs, *more))
+    got = rows(minhash_dedup.near_duplicates(frame(spark, texts)))
+    assert [got[k].component_id for k in range(len(texts))] == brute_components(texts)[1]
+    assert sum(compared) < 3 * len(texts)  # of 231 pairs
+
+
+def test_parities():
+    rng = np.random.default_rng(4)
+    for n, apart in ((1, 0), (40, 3), (1000, 80), (30_000, 2500)):
+        x = rng.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[apart:], rng.integers(0, 2**63, apart, dtype=np.uint64)])
+        differ = int(np.unpackbits((minhash_dedup.parities(x) ^ minhash_dedup.parities(y)).view(np.uint8)).sum())
+        assert differ <= 2 * apart and (n > 2000 or differ >= 1.9 * apart)
+
+
 def test_pipeline_links_copies_from_four_fifths_on(spark):
     base = [f"w{k}" for k in range(104)]  # 100 shingles
     texts = [" ".join(base), " ".join([*base[:-10], *(f"x{k}" for k in range(10))]), " ".join([*base[:-13], *(f"y{k}" for k in range(13))])]

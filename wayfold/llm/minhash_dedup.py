@@ -11,8 +11,11 @@ meets the bucket's hub (a star), the member that shares most buckets with others
 middle of its group.  What the confirmed stars leave in different components is then compared:
 members outside the hub's component against the bucket, the bucket dealt into salted shares of about
 ``SHARE`` rows, each pair in its first common bucket only.  For these members alone a longer signature of
-``LONG`` single bits is made, whose estimate rules out nearly all pairs below the threshold.  Pairs
-inside one component need no comparison, so no link that could change a component is lost, and
+``LONG`` single bits is made, whose estimate rules out most pairs below the threshold, and a table of ``ODD``
+parities: a bit says whether the set has an odd number of shingles there, so two tables differ in at most as many
+bits as the sets differ in shingles.  That rules out a pair just below the threshold for certain, and what is left to confirm
+are links rather than the square of a group of near misses; large sets fill the table, for these its expected
+count (and ``SIGMAS`` standard errors) tells.  Pairs inside one component need no comparison, so no link that could change a component is lost, and
 there is no cap.
 
 Null texts and texts without words have an empty set and are linked with nothing; shorter texts than a shingle are one
@@ -23,6 +26,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,7 @@ BITS = 2
 SIGMAS = 5.0
 SHARE = 2000
 LONG = 1024
+ODD = 4096
 #: Links hold from this share of common shingles on, in percent.
 PERCENT = 85
 PACKED = HASHES * BITS // 64
@@ -82,18 +87,26 @@ def signature(shingles: np.ndarray, factors: np.ndarray = _FACTORS, offsets: np.
     return best
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For ODD places whether an odd number of the set's shingles lies there, packed into longs."""
+    at = mix(shingles ^ U64(0x9E3779B97F4A7C15)) % U64(ODD)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=ODD) & 1).astype(np.uint8)).view(np.int64)
+
+
 def long_signatures(sets: DataFrame) -> DataFrame:
-    """node and the lowest bit of each of LONG minima, packed into longs."""
+    """node, the lowest bit of each of LONG minima, packed into longs, and the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, odd = [], []
             for body in batch.column(1):
-                bits = (mix(signature(np.frombuffer(body.as_buffer(), np.uint64), _LONG_FACTORS, U64(1))) & U64(1)).astype(np.uint8)
+                own = np.frombuffer(body.as_buffer(), np.uint64)
+                bits = (mix(signature(own, _LONG_FACTORS, U64(1))) & U64(1)).astype(np.uint8)
                 rows.append(np.packbits(bits).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["node", "long"])
+                odd.append(parities(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["node", "long", "odd"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node bigint, long array<bigint>")
+    return sets.select("node", "shingles").mapInArrow(run, "node bigint, long array<bigint>, odd array<bigint>")
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -176,6 +189,19 @@ def long_estimate(a: str, b: str) -> Column:
     return 1 - differ / F.lit(LONG * 0.5)
 
 
+def odd_bits(a: str, b: str) -> Column:
+    """The number of places where two tables of parities differ."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+
+
+def most_odd_bits(a: str, b: str, percent: int = PERCENT) -> Column:
+    """The most places where tables of sets of these sizes differ at the threshold: one for each shingle that only one set has, or,
+    where so many fall together, SIGMAS standard errors above the expected number."""
+    apart = (F.col(a) + F.col(b)) * ((100 - percent) / (100 + percent)) + 1e-6
+    same = F.exp(apart * math.log(1 - 2 / ODD))
+    return F.least(apart, (1 - same) * (ODD / 2) + F.sqrt((1 - same * same) * (ODD / 4)) * SIGMAS)
+
+
 def least_estimate(percent: int = PERCENT, hashes: int = HASHES, bits: int = BITS) -> float:
     """The estimate SIGMAS standard errors below the threshold."""
     j, chance = percent / 100, 1 - 0.5**bits
@@ -270,16 +296,16 @@ def residual_pairs(members: DataFrame, heads: DataFrame, sets: DataFrame, found:
     own = cut(own.join(detail, "node").withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")), "open-members")
     floor, long_floor = least_estimate(percent), least_estimate(percent, LONG, 1)
     left = own.where("component <> hub_component").select(
-        "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("packed").alias("px"), F.col("long").alias("lx"), F.col("tags").alias("tx"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        "key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("s").alias("sx"), F.col("packed").alias("px"), F.col("long").alias("lx"), F.col("odd").alias("ox"), F.col("tags").alias("tx"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
     )
-    right = own.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("hub_component").alias("hy"), F.col("s").alias("sy"), F.col("packed").alias("py"), F.col("long").alias("ly"), F.col("tags").alias("ty"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"))
+    right = own.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("hub_component").alias("hy"), F.col("s").alias("sy"), F.col("packed").alias("py"), F.col("long").alias("ly"), F.col("odd").alias("oy"), F.col("tags").alias("ty"), F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"))
     # Two members outside the hub's component meet once in a bucket, in order of their nodes, and a pair is compared in its
     # first common bucket only; 31 bits of a bucket's key tell it (a false earlier one has a chance of about 1e-8 a pair,
     # as likely as a pair that no band finds).
     common = F.filter(F.zip_with("tx", "ty", lambda p, q: F.when(p == q, p)), lambda k: k.isNotNull())
     pairs = left.join(right, ["key", "share"]).where(
         (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("hy")) | (F.col("x") < F.col("y"))) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy"))
-        & (estimate("px", "py") >= floor) & (long_estimate("lx", "ly") >= long_floor) & (common[0] == F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        & (estimate("px", "py") >= floor) & (long_estimate("lx", "ly") >= long_floor) & (odd_bits("ox", "oy") <= most_odd_bits("sx", "sy", percent)) & (common[0] == F.col("key").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     )
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
