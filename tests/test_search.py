@@ -131,3 +131,11 @@ def test_unreachable_target_is_not_emitted_and_does_not_bound(spark):
     assert (1, 9) not in lab
     assert lab[(1, 2)] == (3.0, 4, "d")
     assert all(v[0] != float("inf") for v in lab.values())
+
+
+def test_look_at_open_targets_holds_no_bucket_in_memory(spark):
+    targets = spark.createDataFrame([(1, 2, 0.0, 0.0), (1, 3, 1.0, 2.0)], "start bigint, node bigint, x double, y double")
+    log = spark.createDataFrame([(1, 2, 5.0), (1, 2, 4.0), (1, 9, 1.0)], "start bigint, node bigint, cost double")
+    look = frontier._open_targets(targets, log, 4.0)
+    assert "ShuffledHashJoin" not in look._jdf.queryExecution().toString()
+    assert [tuple(r) for r in look.collect()] == [(1, float("inf"), 0.0, 1.0, 0.0, 2.0)]
