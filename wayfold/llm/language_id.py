@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import map_batches, remainder
 
 SAMPLE_ROWS = 300
 DICTIONARY_BYTES = 1 << 16
@@ -130,7 +130,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             got = [encoder.judge(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == UNKNOWN or g[2] < min_margin for g in got], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -149,4 +149,4 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             got = [encoder.judge(t.as_py()) for t in batch.column(at)]
             yield batch.filter(pa.array([g[0] != UNKNOWN and g[2] >= min_margin for g in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, unused
+from .common import cut, discard, map_batches, unused
 from .graph import components
 from .words import LOWER, U64, mix, range_hash, row_windows, slices, spans, window_hash
 
@@ -106,7 +106,7 @@ def long_signatures(sets: DataFrame) -> DataFrame:
                 odd.append(parities(own))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], ["node", "long", "odd"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "node bigint, long array<bigint>, odd array<bigint>")
+    return map_batches(sets.select("node", "shingles"), run, "node bigint, long array<bigint>, odd array<bigint>")
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -150,7 +150,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     bands.append(None if m is None else band_keys(m).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(d0, pa.int64()), pa.array(d1, pa.int64()), pa.array(packed, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "d0", "d1", "packed", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, d0 bigint, d1 bigint, packed array<bigint>, bands array<bigint>")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles bigint, d0 bigint, d1 bigint, packed array<bigint>, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 both = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in both], pa.int64()), pa.array([d[1] for d in both], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["d0", "d1", "n_shingles", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "d0 bigint, d1 bigint, n_shingles bigint, shingles binary")
+    return map_batches(docs.select("text"), run, "d0 bigint, d1 bigint, n_shingles bigint, shingles binary")
 
 
 def mismatches(a: str, b: str) -> Column:
@@ -230,7 +230,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return map_batches(rows, run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

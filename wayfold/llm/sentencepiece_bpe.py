@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 MARK = "▁"
 #: Characters of text taken at once, characters indexed at once (a table row of some 17 numbers each), and segments
 #: and ids that a worker remembers between batches.
@@ -311,7 +313,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32), pa.int32(), mask=np.append(null, False)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, pa.array(counts, pa.int64(), mask=null), pa.array(same, pa.bool_(), mask=null)], ["doc_id", "ids", "n_tokens", "round_trip"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, n_tokens bigint, round_trip boolean")
 
 
 def decode(rows: DataFrame, model: bytes) -> DataFrame:
@@ -324,7 +326,7 @@ def decode(rows: DataFrame, model: bytes) -> DataFrame:
             texts = [None if x is None else vocab.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select("doc_id", F.col("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return map_batches(rows.select("doc_id", F.col("ids")), run, f"doc_id {kind}, text string")
 
 
 def read_model(path: str | None = None) -> bytes:
