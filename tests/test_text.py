@@ -83,3 +83,24 @@ def test_grid_line_is_not_carried_beside_each_of_its_roads(spark):
         node = node.children().head()
     kept = [node.requiredChildOutput().apply(i).name() for i in range(node.requiredChildOutput().size())]
     assert kept == ["cell"], generate
+
+
+def test_grid_line_is_gathered_and_parsed_as_texts_of_roads(spark):
+    """Neither side holds all points of a cell as objects: roads become text before they are gathered, and points are parsed after the explode."""
+    from pyspark.sql import functions as F
+
+    rows = [('c"1', "r1", ["1,2", '3"']), ('c"1', None, ["x"]), ('c"1', "a\\b", None), ('c"1', "é", [None, "n"]), (None, "r", ["q"]), (None, "r2", []), ("z", "only", ["p"]), ("y", "1", ["é\n"]), ("y", "2", ["t"])]
+    grid = spark.createDataFrame(rows, "cell string, road_id string, lonlats array<string>")
+    whole = F.array_sort(F.collect_list(F.struct(F.col("road_id").alias("RoadId"), F.col("lonlats").alias("LonLats"))))
+    want = grid.groupBy("cell").agg(whole.alias("nodes")).select(F.to_json(F.struct(F.col("cell").alias("GeoHash"), "nodes")).alias("value"))
+    lines = text.format_grid_index(grid)
+    assert sorted(r.value for r in lines.collect()) == sorted(r.value for r in want.collect())
+    back = text.parse_grid_index(lines)
+    assert sorted(map(repr, (tuple(r) for r in back.collect()))) == sorted(map(repr, rows))
+    node = back._jdf.queryExecution().optimizedPlan()
+    while not node.nodeName() == "Generate":
+        node = node.children().head()
+    assert node.generatorOutput().last().dataType().simpleString() == "string"
+    assert "collect_list(struct(road_id" in node.toString() and ", text," in node.toString()
+    odd = spark.createDataFrame([('{"GeoHash":"k","nodes":[5,{"RoadId":"1"}]}',), ('{"GeoHash":"l","nodes":[null,{"RoadId":2,"LonLats":"a"}]}',)], "value string")
+    assert sorted(map(repr, (tuple(r) for r in text.parse_grid_index(odd).collect()))) == ["('l', '2', None)", "('l', None, None)"]

@@ -51,6 +51,10 @@ GRID_SCHEMA = T.StructType(
 )
 
 
+#: A line whose roads are left as text.
+GRID_LINE_SCHEMA = T.StructType([GRID_SCHEMA["GeoHash"], T.StructField("nodes", T.ArrayType(T.StringType()))])
+
+
 def _split_nonempty(s: Column, sep: str) -> Column:
     """Java-like split: drop the empty items (trailing ones in the reference)."""
     return F.filter(F.split(s, sep), lambda x: x != "")
@@ -270,10 +274,15 @@ def parse_grid_index(lines: DataFrame) -> DataFrame:
 
     The cell's name is taken out before its roads are exploded: beside ``j.nodes`` exploded, every road's row would
     carry the whole line, so a cell of many roads would cost the square of them.  The outer form, whose rows for empty
-    cells go again, keeps the optimizer from parsing each line a second time to find these beforehand."""
-    j = F.from_json(F.col("value"), GRID_SCHEMA)
-    cells = lines.select(j.alias("j")).select(F.col("j.GeoHash").alias("cell"), F.col("j.nodes").alias("nodes"))
-    roads = cells.select("cell", F.posexplode_outer("nodes").alias("at", "n")).where("at is not null")
+    cells go again, keeps the optimizer from parsing each line a second time to find these beforehand.  A line's roads are cut into
+    one text each, and their points are parsed after the explode, so a long line's points are never all in memory as objects.
+    A line with a road that is no object has no list of roads; all objects as text lie between ``{`` and ``|``."""
+    j = F.from_json(F.col("value"), GRID_LINE_SCHEMA)
+    nodes = F.col("j.nodes")
+    objects = F.coalesce((F.array_min(nodes) >= "{") & (F.array_max(nodes) < "|"), F.lit(True))
+    cells = lines.select(j.alias("j")).select(F.col("j.GeoHash").alias("cell"), F.when(objects, nodes).alias("nodes"))
+    roads = cells.select("cell", F.posexplode_outer("nodes").alias("at", "text")).where("at is not null")
+    roads = roads.select("cell", F.from_json("text", GRID_SCHEMA["nodes"].dataType.elementType).alias("n"))
     return roads.select("cell", F.col("n.RoadId").alias("road_id"), F.col("n.LonLats").alias("lonlats"))
 
 
@@ -282,10 +291,15 @@ def read_grid_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def format_grid_index(grid: DataFrame) -> DataFrame:
-    return grid.groupBy("cell").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("road_id").alias("RoadId"), F.col("lonlats").alias("LonLats"))))
-        .alias("nodes")
-    ).select(F.to_json(F.struct(F.col("cell").alias("GeoHash"), "nodes")).alias("value"))
+    """A cell's roads become text before they are gathered, and the line is put together at once from these texts: a
+    cell of many roads takes its line's size a few times, not all its points as objects."""
+    road = F.to_json(F.struct(F.col("road_id").alias("RoadId"), F.col("lonlats").alias("LonLats")))
+    texts = F.sort_array(F.collect_list(F.struct("road_id", road.alias("text"))))["text"]
+    name = F.to_json(F.struct(F.col("cell").alias("GeoHash")))
+    head = F.when(F.col("cell").isNull(), F.lit('{"nodes":[')).otherwise(F.concat(F.left(name, F.length(name) - 1), F.lit(',"nodes":[')))
+    first, tail, n = F.concat(head, F.element_at(texts, 1)), F.lit("]}"), F.size(texts)
+    many = F.concat_ws(",", first, F.slice(texts, F.lit(2), n - 2), F.concat(F.element_at(texts, -1), tail))
+    return grid.groupBy("cell").agg(F.when(n > 1, many).otherwise(F.concat(first, tail)).alias("value"))
 
 
 # ------------------------------------------------------------------ edge table
