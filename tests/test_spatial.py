@@ -225,3 +225,27 @@ def test_candidate_roads_keep_the_last_corner_and_shuffle_no_result(spark):
     known, unknown = plan.children().head(), plan.children().last()
     assert "max_by" in unknown.toString() and "isnull(event_id" in unknown.toString()
     assert "max_by" not in known.toString()
+
+
+def test_candidate_roads_deal_roads_and_points_once(spark):
+    """Points of roads were shuffled by cell and road and again by road; now roads are dealt before they become points."""
+    import re
+
+    from wayfold.operators.spatial_jobs import candidate_roads
+    from wayfold.sources.network import build_grid
+
+    ends = "road_id string, xa double, ya double, xb double, yb double"
+    roads = spark.createDataFrame([("1", 108.9, 34.2, 108.905, 34.2), ("2", 108.9, 34.2, 108.9, 34.205), ("2", 108.9, 34.2, 108.9, 34.205), (None, 108.9, 34.2, 108.901, 34.2)], ends)
+    gps = spark.createDataFrame([(1, 108.9, 34.2), (2, 108.903, 34.2001)], "event_id bigint, lon double, lat double")
+    grid = build_grid(roads)
+    plan = candidate_roads(gps, grid)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(cell#\d+, road_id#\d+|hashpartitioning\(road_id#\d+, cell#\d+", plan)
+    assert len(re.findall(r"Exchange hashpartitioning\(road_id#", plan)) == 2  # of events with an id, and of those without
+    points = {}
+    for r in grid.collect():
+        assert (r.cell, r.road_id) not in points
+        points[r.cell, r.road_id] = r.lonlats
+    assert sum(len(p) for (_, road), p in points.items() if road == "2") == 42
+    again = grid.unionByName(grid.withColumn("lonlats", F.array(F.lit("999,9"))))
+    one, two = ({(r.event_id, r.road_id): r.lonlats for r in candidate_roads(gps, g).collect()} for g in (grid, again))
+    assert one.keys() == two.keys() and {r for _, r in one} == {"1", "2", None} and all(p == ["999,9"] for p in two.values())
