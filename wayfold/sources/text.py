@@ -51,6 +51,8 @@ GRID_SCHEMA = T.StructType(
 )
 
 
+#: Roads of a line that are copied into a row together.
+LINE_ROADS = 1000
 #: A line whose roads are left as text.
 GRID_LINE_SCHEMA = T.StructType([GRID_SCHEMA["GeoHash"], T.StructField("nodes", T.ArrayType(T.StringType()))])
 
@@ -273,14 +275,21 @@ def parse_grid_index(lines: DataFrame) -> DataFrame:
     """(cell, road_id, lonlats ARRAY<STRING>) from JSON lines.
 
     The cell's name is taken out before its roads are exploded: beside ``j.nodes`` exploded, every road's row would
-    carry the whole line, so a cell of many roads would cost the square of them.  The outer form, whose rows for empty
-    cells go again, keeps the optimizer from parsing each line a second time to find these beforehand.  A line's roads are cut into
-    one text each, and their points are parsed after the explode, so a long line's points are never all in memory as objects.
+    carry the whole line, so a cell of many roads would cost the square of them.  A line's roads are cut into
+    one text each and leave it ``LINE_ROADS`` at a time, and their points are parsed after the explode, so a long line's points are
+    never all in memory as objects, nor its roads copied into one row.  The outer forms, whose rows for empty
+    cells go again, keep the optimizer from parsing each line a second time to find these beforehand.
     A line with a road that is no object has no list of roads; all objects as text lie between ``{`` and ``|``."""
-    j = F.from_json(F.col("value"), GRID_LINE_SCHEMA)
-    nodes = F.col("j.nodes")
-    objects = F.coalesce((F.array_min(nodes) >= "{") & (F.array_max(nodes) < "|"), F.lit(True))
-    cells = lines.select(j.alias("j")).select(F.col("j.GeoHash").alias("cell"), F.when(objects, nodes).alias("nodes"))
+
+    def chunks(j: Column) -> Column:
+        nodes = j["nodes"]
+        objects = F.coalesce((F.array_min(nodes) >= "{") & (F.array_max(nodes) < "|"), F.lit(True))
+        last = F.floor((F.size(nodes) - 1) / F.lit(LINE_ROADS)).cast("int")
+        some = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.struct(j["GeoHash"].alias("cell"), F.slice(nodes, k * LINE_ROADS + 1, F.lit(LINE_ROADS)).alias("nodes")))
+        return F.when(nodes.isNotNull() & objects, some)
+
+    line = F.array(F.from_json(F.col("value"), GRID_LINE_SCHEMA))  # of one, so that it is parsed once
+    cells = lines.select(F.explode_outer(F.element_at(F.transform(line, chunks), 1)).alias("c")).select("c.cell", "c.nodes")
     roads = cells.select("cell", F.posexplode_outer("nodes").alias("at", "text")).where("at is not null")
     roads = roads.select("cell", F.from_json("text", GRID_SCHEMA["nodes"].dataType.elementType).alias("n"))
     return roads.select("cell", F.col("n.RoadId").alias("road_id"), F.col("n.LonLats").alias("lonlats"))
